@@ -1,0 +1,4 @@
+"""Every retail query by name, with the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
