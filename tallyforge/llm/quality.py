@@ -24,9 +24,9 @@ from tallyforge.llm.shared import join_small, written
 MIN_WORDS, MAX_REPEAT = 50, 50
 SHARE, STEPS = 0.75, 3
 #: Least standard deviation of each transformed statistic.
-FLOORS = (0.05, 0.10, 0.10, 0.05)
+FLOORS = (0.08, 0.04, 0.15, 0.08)
 #: Chance that a document of a Gaussian group lies beyond the cut.
-TAIL = 1e-12
+TAIL = 1e-10
 SYMBOLS = "#*$%&|<>"
 N = len(FLOORS)
 
