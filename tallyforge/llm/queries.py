@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import ctw, mixing, quality, sentencepiece
+from tallyforge.llm import ctw, linededup, mixing, quality, secrets, sentencepiece
 from tallyforge.llm.shared import read
 
 QUERIES = {
     "op1_sentencepiece": lambda spark, d: sentencepiece.encode_query(read(spark, d, "documents")),
+    "op3_line_dedup": lambda spark, d: linededup.dedup_query(read(spark, d, "documents")),
+    "op4_secrets": lambda spark, d: secrets.secrets_query(read(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.mix_query(read(spark, d, "documents")),
     "op9_ctw": lambda spark, d: ctw.score_query(read(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality.quality_query(read(spark, d, "documents")),
 }
 
-ORACLE_SQL = {"op7_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op4_secrets": secrets.ORACLE, "op7_mixing": mixing.ORACLE}
