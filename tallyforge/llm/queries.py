@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import ctw, linededup, mixing, quality, secrets, sentencepiece
+from tallyforge.llm import ctw, linededup, minhash, mixing, quality, secrets, sentencepiece
 from tallyforge.llm.shared import read
 
 QUERIES = {
     "op1_sentencepiece": lambda spark, d: sentencepiece.encode_query(read(spark, d, "documents")),
+    "op2_minhash": lambda spark, d: minhash.minhash_query(read(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: linededup.dedup_query(read(spark, d, "documents")),
     "op4_secrets": lambda spark, d: secrets.secrets_query(read(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.mix_query(read(spark, d, "documents")),
