@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import ctw, linededup, minhash, mixing, quality, secrets, sentencepiece
+from tallyforge.llm import ctw, linededup, minhash, mixing, quality, secrets, sentencepiece, toxicity
 from tallyforge.llm.shared import read
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_minhash": lambda spark, d: minhash.minhash_query(read(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: linededup.dedup_query(read(spark, d, "documents")),
     "op4_secrets": lambda spark, d: secrets.secrets_query(read(spark, d, "documents")),
+    "op5_toxicity": lambda spark, d: toxicity.toxicity_query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op7_mixing": lambda spark, d: mixing.mix_query(read(spark, d, "documents")),
     "op9_ctw": lambda spark, d: ctw.score_query(read(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality.quality_query(read(spark, d, "documents")),
