@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are labelled documents outside the held-out part. Terms are runs of letters, lower-cased; the index
+Examples are labelled documents outside the held-out part. Terms are runs of letters,
+lower-cased, and their beginnings of four to seven letters; the index
 holds the ``TERMS`` terms that tell the labels apart best by chi-square over the distinct training texts, weighted by
 inverse document frequency over the whole corpus. Of the examples at most ``EXAMPLES``, chosen by a hash of their
 id, enter the index: that bound is the only sample, and it keeps index and broadcast of fixed size.
@@ -31,14 +32,38 @@ from tallyforge.llm.shared import held_out, written
 PARTS, HELD = 3, 1
 TERMS, EXAMPLES = 512, 20_000
 NEIGHBOURS, BLOCK, BINS = 15, 64, 10
-#: Least texts, least share of the toxic texts, and least chi-square of an indexed term.
-LEAST_DOCS, LEAST_SHARE, LEAST_CHI = 5, 0.03, 30.0
+#: Least texts, least share of the toxic texts, and least chi-square of an indexed term; at least half of its
+#: texts are toxic.
+LEAST_DOCS, LEAST_SHARE, LEAST_CHI = 5, 0.015, 30.0
 CUT = 0.7
+PREFIXES, MEMO = (4, 5, 6, 7), 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> Counter:
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+def features(word: str) -> list[str]:
+    """The word and its beginnings, each marked as such: inflected and compound forms share those."""
+    return [word, *[f"^{word[:k]}" for k in PREFIXES if len(word) > k]]
+
+
+class Terms:
+    """Counts the indexed features of a text; words met before need one look-up."""
+
+    def __init__(self, only):
+        self.only, self.known = only, {}
+
+    def __call__(self, text: str | None) -> Counter:
+        out: Counter = Counter()
+        if text:
+            known = self.known
+            for word in WORD.findall(text.lower()):
+                held = known.get(word)
+                if held is None:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    held = known[word] = tuple(f for f in features(word) if f in self.only)
+                if held:
+                    out.update(held)
+        return out
 
 
 class Index:
@@ -146,11 +171,13 @@ def _term_counts(texts: DataFrame, only=None) -> DataFrame:
             bad.clear()
             return rows
 
+        counted = Terms(only.value) if only is not None else None
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = set(WORD.findall(text.lower())) if text else set()
-                if only is not None:
-                    held &= only.value
+                if counted is not None:
+                    held = set(counted(text))
+                else:
+                    held = {f for w in set(WORD.findall(text.lower())) for f in features(w)} if text else set()
                 n.update(held)
                 if toxic:
                     bad.update(held)
@@ -180,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = TERMS, max_examples
     c, d = F.lit(bad) - a, F.lit(n - bad) - b
     cross = (a * d - b * c).cast("double")
     chi = F.lit(float(n)) * cross * cross / ((a + b).cast("double") * (c + d) * F.lit(float(bad)) * F.lit(float(n - bad)))
-    best = _term_counts(single).filter((F.col("n") >= LEAST_DOCS) & (a >= LEAST_SHARE * bad) & (F.col("n") < n))
+    best = _term_counts(single).filter((F.col("n") >= LEAST_DOCS) & (a >= LEAST_SHARE * bad) & (2 * a >= F.col("n")))
     best = best.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (a * (n - bad) > b * bad)).orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()
     if not best:
         return empty
@@ -192,8 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = TERMS, max_examples
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) if rows_in > max_examples else train
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = Terms(weights)
         for batch in batches:
-            found = [vector(terms(t), weights) for t in batch.column(1).to_pylist()]
+            found = [vector(counted(t), weights) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -241,15 +269,16 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
         fitted = model.value
         index, weights, bins = fitted["index"], fitted["weights"], fitted["bins"]
         memo: dict = {}
+        counted = Terms(weights)
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
-                held = [w for w in WORD.findall(text.lower()) if w in weights] if text and index else []
-                key = tuple(sorted(Counter(held).items()))
+                held = counted(text)
+                key = tuple(sorted(held.items()))
                 if key not in memo:
                     if len(memo) >= 100_000:
                         memo.clear()
-                    share, near = index.share(vector(Counter(held), weights)) if held else (None, [])
+                    share, near = index.share(vector(held, weights)) if held else (None, [])
                     # Between bins the score moves in proportion.
                     value = fitted["prior"] if share is None else float(np.interp(share * BINS, np.arange(BINS + 1), bins))
                     memo[key] = (value, [index.ids[e] for _, e, _ in near[:3]])
