@@ -35,7 +35,7 @@ PARTS, HELD = 7, 2
 #: Bits of the class of each preceding byte, nearest first.
 BITS = (6, 5, 5)
 END = 0xFF
-HEAD = 300_000
+HEAD = 200_000
 END_TOKEN = "\n"  # no word holds white space
 #: Bytes scored at once.
 CHUNK = 1 << 22
@@ -115,54 +115,76 @@ def _log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def table(cell: np.ndarray, count: np.ndarray, bits: tuple[int, ...] = BITS) -> np.ndarray:
-    """log10 probability of each byte in each deepest context, float32 of shape (2 ** sum(bits), 256)."""
-    total = sum(bits)
-    depths = [sum(bits[:d]) for d in range(len(bits) + 1)]
+    """log10 probability of each byte in each deepest context, float32 of shape (2 ** sum(bits), 256).
+
+    Subtrees under one class of the nearest byte are worked out one at a time, so little more than the result
+    is held.
+    """
+    total, inner = sum(bits), sum(bits[1:])
+    depths = [sum(bits[1:d]) for d in range(1, len(bits) + 1)]  # bits below the nearest byte's class
+    chunks = 1 << bits[0]
+    order = np.argsort(cell, kind="stable")
+    cell, count = cell[order], count[order]
+    byte = cell & 255
+    below = (cell >> 8) & ((1 << inner) - 1)
+    edges = np.searchsorted(cell >> (8 + inner), np.arange(chunks + 1))
     logs = np.zeros((1 << total, 256), dtype=np.float32)
-    context, byte = cell >> 8, cell & 255
     for level in range(8):
         width = 1 << level  # binary nodes of this level: the byte's first bits
-        prefix = byte >> (8 - level)
-        bit = (byte >> (7 - level)) & 1
-        zeros, ones = [], []
-        for depth in depths:
-            node = (context >> (total - depth)).astype(np.int64) * width + prefix
-            size = width << depth
-            zeros.append(np.bincount(node[bit == 0], weights=count[bit == 0], minlength=size))
-            ones.append(np.bincount(node[bit == 1], weights=count[bit == 1], minlength=size))
-        weighted = _log_block(zeros[-1], ones[-1])
-        own_share = [None] * len(depths)
-        for d in range(len(depths) - 2, -1, -1):
-            children = weighted.reshape(1 << depths[d], -1, width).sum(axis=1).reshape(-1)
-            own = _log_block(zeros[d], ones[d])
-            top = np.maximum(own, children)
-            weighted = top + np.log(np.exp(own - top) + np.exp(children - top)) - math.log(2)
-            own_share[d] = np.exp(own - weighted - math.log(2))
-        up = np.full(width, 0.5)  # from the deepest node that is seen
-        predicted = None
-        estimate, seen = [], []
-        for d, depth in enumerate(depths):
-            n = zeros[d] + ones[d]
-            kt = (ones[d] + 0.5) / (n + 1)
-            if d:
-                up = np.repeat(up.reshape(1 << depths[d - 1], 1, width), 1 << (depth - depths[d - 1]), axis=1).reshape(-1)
-                kt = np.where(n > 0, kt, up)
-            up = kt
-            estimate.append(kt)
-            seen.append(n > 0)
-        predicted = estimate[-1]
-        for d in range(len(depths) - 2, -1, -1):
-            spread = lambda x, d=d: np.repeat(x.reshape(1 << depths[d], 1, width), 1 << (total - depths[d]), axis=1).reshape(-1)
-            share = spread(np.where(seen[d], own_share[d], 1.0))
-            mixed = share * spread(estimate[d]) + (1 - share) * predicted
-            predicted = np.where(spread(seen[d]), mixed, predicted)
-        predicted = predicted.reshape(1 << total, width)
+        prefix, bit = byte >> (8 - level), (byte >> (7 - level)) & 1
+        top_zeros = np.bincount(prefix, weights=count * (bit == 0), minlength=width)
+        top_ones = np.bincount(prefix, weights=count * (bit == 1), minlength=width)
+        top_estimate = (top_ones + 0.5) / (top_zeros + top_ones + 1)
+        product = np.zeros(width)
+        predicted = np.empty((chunks, 1 << inner, width), dtype=np.float32)
+        for chunk in range(chunks):
+            part = slice(edges[chunk], edges[chunk + 1])
+            block, predicted[chunk] = _subtree(below[part], prefix[part], bit[part], count[part], depths, width, top_estimate)
+            product += block
+        own = _log_block(top_zeros, top_ones)
+        share = 1 / (1 + np.exp(np.clip(product - own, -700, 700)))
+        share = np.where(top_zeros + top_ones > 0, share, 1.0)
         rest = 256 >> (level + 1)
-        both = np.stack([np.log10(1 - predicted), np.log10(predicted)], axis=2).reshape(1 << total, 2 * width)
-        logs += np.repeat(both, rest, axis=1).astype(np.float32)
+        for chunk in range(chunks):
+            one = share * top_estimate + (1 - share) * predicted[chunk].astype(np.float64)
+            both = np.stack([np.log10(1 - one), np.log10(one)], axis=2).reshape(1 << inner, 2 * width)
+            logs[chunk << inner : (chunk + 1) << inner] += np.repeat(both, rest, axis=1).astype(np.float32)
     return logs
 
 
+def _subtree(below, prefix, bit, count, depths, width, parent):
+    """Log block probability of the subtree's root nodes, and what the subtree predicts in each deepest context."""
+    inner = depths[-1]
+    zeros, ones = [], []
+    for depth in depths:
+        node = (below >> (inner - depth)) * width + prefix
+        zeros.append(np.bincount(node, weights=count * (bit == 0), minlength=width << depth))
+        ones.append(np.bincount(node, weights=count * (bit == 1), minlength=width << depth))
+    weighted = _log_block(zeros[-1], ones[-1])
+    shares: list = [None] * len(depths)
+    for d in range(len(depths) - 2, -1, -1):
+        children = weighted.reshape(1 << depths[d], -1, width).sum(axis=1).reshape(-1)
+        own = _log_block(zeros[d], ones[d])
+        top = np.maximum(own, children)
+        weighted = top + np.log(np.exp(own - top) + np.exp(children - top)) - math.log(2)
+        shares[d] = np.exp(own - weighted - math.log(2))
+
+    def spread(x: np.ndarray, depth: int, to: int) -> np.ndarray:
+        return np.repeat(x.reshape(1 << depth, 1, width), 1 << (to - depth), axis=1).reshape(-1)
+
+    estimate, up = [], parent
+    for d, depth in enumerate(depths):
+        n = zeros[d] + ones[d]
+        up = np.where(n > 0, (ones[d] + 0.5) / (n + 1), spread(up, depths[d - 1], depth) if d else up)
+        estimate.append(up)
+    predicted = estimate[-1]
+    for d in range(len(depths) - 2, -1, -1):
+        seen = zeros[d] + ones[d] > 0
+        share = spread(np.where(seen, shares[d], 0.0), depths[d], inner)
+        predicted = share * spread(estimate[d], depths[d], inner) + (1 - share) * predicted
+    return weighted, predicted.reshape(1 << inner, width)
+
+
 def _training_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word counts (token, c) and cell counts (cell, c) of the training texts, both written."""
 
@@ -212,9 +234,18 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     grams = grams.toArrow()  # at most 256 << sum(BITS) rows
     logs = table(grams["cell"].to_numpy().astype(np.int64), grams["c"].to_numpy().astype(np.float64))
-    # As many words as ``head``, whatever the corpus; ties are all left to the join.
-    top = words.orderBy(F.desc("c"), "token").limit(head).toArrow()
-    sent = spark.sparkContext.broadcast((logs.reshape(-1), dict(zip((w.encode() for w in top["token"].to_pylist()), top["c"].to_pylist()))))
+    # The words of the highest counts, all with at least ``least``: no more than ``head``, whatever the corpus.
+    levels = words.groupBy(F.floor(F.log2("c")).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    least, many = 1, 0
+    for level in levels:
+        many += level["n"]
+        if many > head:
+            break
+        least = 1 << level["level"]
+    top = words.filter(F.col("c") >= least).toArrow() if levels and levels[0]["n"] <= head else None
+    frequent = dict(zip((w.encode() for w in top["token"].to_pylist()), top["c"].to_pylist())) if top else {}
+    sent = spark.sparkContext.broadcast((logs.reshape(-1), frequent))
+    del logs, top
     whole = v <= head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
