@@ -1,7 +1,9 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, and groups linked by verified candidates."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,54 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most} passes")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _paired(rows: DataFrame, near) -> DataFrame:
+    """Distinct (a, b) with a > b of rows (x, y, nx, ny) that ``near`` allows."""
+    return rows.filter((F.col("x") != F.col("y")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def linked_groups(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], count: int, rounds: int, few: float, near=None
+) -> tuple[DataFrame, DataFrame]:
+    """node and root of the nodes that candidate buckets and ``verify`` link, and the links themselves.
+
+    ``members``: written rows (key, node, n) of buckets with two nodes or more; ``verify`` turns pairs (a, b) into
+    those of them that are links; ``near`` is a condition on (nx, ny) that every link meets.
+
+    No bucket is expanded into pairs at first. Its nodes are held against one hub, links are merged into
+    components, and only nodes of other components are held against the next hub. Once the pairs left across
+    components are at most ``few`` times ``count``, or after ``rounds`` hubs, all of them are verified: no link
+    between different components is lost, whatever the buckets hold.
+    """
+    near = F.lit(True) if near is None else near
+    first = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("h"))
+    pairs = written(_paired(members.join(first, "key").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny")), near))
+    checked, links = pairs, written(verify(pairs))
+    roots = components(links)
+    for turn in range(rounds + 1):
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+        across_of = each.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count("*").alias("roots")).filter("roots > 1")
+        across_of = written(across_of.select("key", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("across")))
+        left = across_of.agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
+        if not left:
+            break
+        last = left <= few * count or turn == rounds
+        placed = written(placed.join(across_of.select("key"), "key"))
+        if last:
+            x = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+            y = placed.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+            across = x.join(y, "key").filter("x > y and rx != ry")
+        else:
+            hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("h"))
+            across = placed.join(hubs, "key").filter("root != h.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny"))
+        pairs = written(_paired(across, near).join(checked, ["a", "b"], "left_anti"))
+        checked = checked.unionByName(pairs)
+        more = written(verify(pairs))
+        if more.count():
+            links = links.unionByName(more)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        if last:
+            break
+    return roots, links

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import components
+from tallyforge.llm.components import linked_groups
 from tallyforge.llm.shared import written
 
 WORDS, PERCENT = 5, 75
@@ -126,50 +126,19 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a > b of rows (x, y, nx, ny) whose set sizes allow a link."""
-    near = rows.filter((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")))
-    return near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     found = written(sets(docs, bands, rows))
     classes = written(found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     banded = classes.select("node", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n")).filter("m > 1")
-    members = written(banded.join(shared, "key").select("key", "node", "n", "hub", "hub_n"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    members = written(banded.join(shared, "key").select("key", "node", "n"))
     nodes = members.select("node").distinct()
     texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").distinct())
     count = nodes.count()
 
-    pairs = written(_paired(members.select(F.col("node").alias("x"), F.col("hub").alias("y"), F.col("n").alias("nx"), F.col("hub_n").alias("ny"))))
-    checked = pairs
-    roots = components(verified(pairs, texts))
-    members = members.select("key", "node", "n")
-    for turn in range(rounds + 1):
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-        open_keys = each.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count("*").alias("roots")).filter("roots > 1")
-        open_keys = written(open_keys.select("key", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("across")))
-        left = open_keys.agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        placed = written(placed.join(open_keys.select("key"), "key"))
-        if left <= few * count or turn == rounds:
-            x = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            y = placed.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            across = x.join(y, "key").filter("x > y and rx != ry")
-        else:
-            hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("h"))
-            across = placed.join(hubs, "key").filter("root != h.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny"))
-        pairs = written(_paired(across).join(checked, ["a", "b"], "left_anti"))
-        checked = checked.unionByName(pairs)
-        links = written(verified(pairs, texts))
-        if links.count():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        if left <= few * count or turn == rounds:
-            break
+    near = 100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")
+    roots, _ = linked_groups(members, lambda pairs: verified(pairs, texts), count, rounds, few, near)
     of_class = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     of_id = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("own"))
     placed = found.join(of_class, "digest", "left").join(of_id, "doc_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import ctw, html_extract, linededup, minhash, mixing, quality, secrets, sentencepiece, toxicity
+from tallyforge.llm import ctw, html_extract, linededup, media, minhash, mixing, quality, secrets, sentencepiece, toxicity
 from tallyforge.llm.shared import read
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_toxicity": lambda spark, d: toxicity.toxicity_query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op6_html": lambda spark, d: html_extract.html_query(read(spark, d, "pages")),
     "op7_mixing": lambda spark, d: mixing.mix_query(read(spark, d, "documents")),
+    "op8_media": lambda spark, d: media.media_query(read(spark, d, "embeddings")),
     "op9_ctw": lambda spark, d: ctw.score_query(read(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality.quality_query(read(spark, d, "documents")),
 }
