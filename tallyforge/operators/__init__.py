@@ -1 +1 @@
-"""."""
+"""Cleansing, aggregate tables, features, models and serving data sets."""

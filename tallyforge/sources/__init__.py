@@ -1 +1 @@
-"""."""
+"""Readers, adapters and writers."""

@@ -1 +1 @@
-"""."""
+"""Structured Streaming twins of batch tables; an extension."""
