@@ -17,18 +17,18 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     passes reaches the fixpoint. Each pass is written, so a lost executor costs one pass at most.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    mark = None
     for _ in range(most):
+        # Stars: every node hangs on one other, and none on a node that hangs itself.
+        sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("int").alias("hangs")))
+        uneven = sides.groupBy("node").agg(F.count("*").alias("n"), F.count("hangs").alias("hangs")).filter("hangs > 0 and n > 1")
+        if uneven.isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark:
-            break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {most} passes")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
@@ -48,8 +48,8 @@ def linked_groups(
     ``members``: written rows (key, node, n) of buckets with two nodes or more; ``verify`` turns pairs (a, b) into
     those of them that are links; ``near`` is a condition on (nx, ny) that every link meets.
 
-    No bucket is expanded into pairs at first. Its nodes are held against one hub, links are merged into
-    components, and only nodes of other components are held against the next hub. Once the pairs left across
+    No bucket is expanded into pairs at first. Its nodes are held against one hub, links are merged, and only nodes
+    that are not known to be in one component are held against the next hub. Once the pairs left across
     components are at most ``few`` times ``count``, or after ``rounds`` hubs, all of them are verified: no link
     between different components is lost, whatever the buckets hold.
     """
@@ -57,7 +57,8 @@ def linked_groups(
     first = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("h"))
     pairs = written(_paired(members.join(first, "key").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny")), near))
     checked, links = pairs, written(verify(pairs))
-    roots = components(links)
+    # Until there are components, a node's smallest linked hub stands for its component.
+    roots, settled = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), False
     for turn in range(rounds + 1):
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         each = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
@@ -66,21 +67,22 @@ def linked_groups(
         left = across_of.agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
         if not left:
             break
+        if left > few * count and not settled and turn < rounds:
+            roots, settled = components(links), True
+            continue
         last = left <= few * count or turn == rounds
-        placed = written(placed.join(across_of.select("key"), "key"))
+        placed = placed.join(across_of.select("key"), "key")
         if last:
             x = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            y = placed.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            across = x.join(y, "key").filter("x > y and rx != ry")
+            y = placed.select(F.col("key").alias("ky"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+            across = x.join(y, (F.col("key") == F.col("ky")) & (F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & near)
         else:
             hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("h"))
             across = placed.join(hubs, "key").filter("root != h.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny"))
         pairs = written(_paired(across, near).join(checked, ["a", "b"], "left_anti"))
-        checked = checked.unionByName(pairs)
         more = written(verify(pairs))
-        if more.count():
-            links = links.unionByName(more)
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        checked, links = checked.unionByName(pairs), links.unionByName(more)
         if last:
-            break
-    return roots, links
+            return components(links), links
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return (roots if settled else components(links)), links

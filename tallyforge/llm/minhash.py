@@ -2,8 +2,9 @@
 
 A document's set is its distinct shingles of five words, ASCII letters lower-cased. Documents with equal sets
 form one class, told by a digest, and only one representative goes on, however many copies there are. All
-signature coordinates come from two permutations of the 32-bit universe: the first scatters the elements, the
-second is read at each element shifted by 1, 2, 3, ... places round the circle. Bands of coordinates name buckets.
+signature coordinates come from two permutations of a circle of places: the first scatters the elements, the
+second ranks them, shifted by 1, 2, 3, ... places round the circle. Bands of coordinates name buckets; a bit of
+each coordinate makes a sketch, and only pairs whose sketches differ little become candidates.
 
 Within a bucket no pair list is made. The members are held against one hub; verified links are merged into
 components, and only members of different components are held against the next hub. When the pairs left across
@@ -11,7 +12,8 @@ components are few, or after ``ROUNDS`` hubs, all that are left are verified, so
 Links are confirmed on the full sets: 100 * intersection >= 75 * union.
 
 Fewer than five words make one shingle; null and empty texts, and texts of white space, have no set and are
-alone. Rows with one id count as one document. A null id links with nothing.
+alone. Each row goes by its own set; for links, sets whose smallest id is the same count as one document. A null id
+links with nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ from tallyforge.llm.components import linked_groups
 from tallyforge.llm.shared import written
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS = 32, 4
-ROUNDS = 5
+BANDS, ROWS = 40, 5
+#: Coordinates in all, of which one bit each makes the sketch; places of the circle, as a power of two.
+COORDINATES, CIRCLE = 512, 22
+#: Bits that sketches of linked sets may differ in: of 512, sets at 0.75 differ in 64 on average, and in more than
+#: 107 less than once in ten million times.
+SKETCH_BITS = 107
+ROUNDS = 2
 #: Pairs across components per candidate document, up to which they are verified without another hub.
 FEW = 4
 
@@ -60,47 +67,69 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_scatter(total))
 
 
-def signature(elements: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
-    """Circulant MinHash of a set: uint32 coordinates from one scattering and one shifted permutation."""
-    first = (elements >> np.uint64(32)).astype(np.uint32)
-    first ^= first >> np.uint32(15)
-    first *= np.uint32(0x2C1B3C6D)
-    first ^= first >> np.uint32(12)
-    shifts = np.arange(1, coordinates + 1, dtype=np.uint32)[:, None]
+_CIRCLES: dict[int, np.ndarray] = {}
+
+
+def _circle(coordinates: int) -> np.ndarray:
+    """Row i: what the second permutation gives at places i + 1, i + 2, ... round the circle."""
+    if coordinates not in _CIRCLES:
+        order = np.random.default_rng(7).permutation(1 << CIRCLE).astype(np.uint32)
+        _CIRCLES[coordinates] = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:coordinates]])[1:], coordinates)
+    return _CIRCLES[coordinates]
+
+
+def signature(elements: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """Circulant MinHash of a set: the first permutation scatters its elements round the circle, the second, shifted
+    by one place for each coordinate, ranks them; uint32 least ranks."""
+    places = _scatter(elements ^ np.uint64(0x51ED270B7A5F3C1D)) >> np.uint64(64 - CIRCLE)
+    circle = _circle(coordinates)
     out = np.full(coordinates, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(first), 1024):
-        x = first[None, at : at + 1024] + shifts
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
-        np.minimum(out, x.min(axis=1), out=out)
+    for at in range(0, len(places), 512):
+        np.minimum(out, circle[places[at : at + 512]].min(axis=0), out=out)
     return out
 
 
-def band_keys(sign: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(sign: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit bucket name per band."""
-    rows = sign.reshape(bands, -1).astype(np.uint64)
-    mixed = (rows * _MIX[: rows.shape[1]]).sum(axis=1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-    return _scatter(mixed).view(np.int64)
+    cut = sign[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    total = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        total = _scatter(total * _MIX[0] + cut[:, k])
+    return total.view(np.int64)
+
+
+def sketch(sign: np.ndarray) -> np.ndarray:
+    """One bit of a hash of each coordinate, packed into 64-bit words."""
+    bits = ((sign * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
 def sets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest and keys of every row; null digest and keys for empty sets."""
+    """doc_id, n_shingles, digest, keys and sketch of every row; null from digest on for empty sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sketches = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
+                sign = signature(found, max(COORDINATES, bands * rows)) if len(found) else None
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(band_keys(signature(found, bands * rows), bands) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                keys.append(band_keys(sign, bands, rows) if len(found) else None)
+                sketches.append(sketch(sign[:COORDINATES]) if len(found) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>")
+def _near():
+    """What every link meets: set sizes that allow it, and sketches that differ in few bits."""
+    differ = sum((F.bit_count(F.col("nx.s")[k].bitwiseXOR(F.col("ny.s")[k])) for k in range(1, COORDINATES // 64)), F.bit_count(F.col("nx.s")[0].bitwiseXOR(F.col("ny.s")[0])))
+    return (100 * F.least("nx.n", "ny.n") >= PERCENT * F.greatest("nx.n", "ny.n")) & (differ <= SKETCH_BITS)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -123,26 +152,25 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                     kept.append(k)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     found = written(sets(docs, bands, rows))
-    classes = written(found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    banded = classes.select("node", "n", F.explode("keys").alias("key"))
+    classes = written(found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("s")))
+    banded = classes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    members = written(banded.join(shared, "key").select("key", "node", "n"))
+    met = banded.join(shared, "key").select("key", "node")
+    members = written(met.join(classes.groupBy("node").agg(F.max(F.struct("n", "s")).alias("n")), "node").select("key", "node", "n"))
     nodes = members.select("node").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node").distinct())
+    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node"))
     count = nodes.count()
 
-    near = 100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")
-    roots, _ = linked_groups(members, lambda pairs: verified(pairs, texts), count, rounds, few, near)
+    roots, _ = linked_groups(members, lambda pairs: verified(pairs, texts), count, rounds, few, _near())
     of_class = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    of_id = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("own"))
-    placed = found.join(of_class, "digest", "left").join(of_id, "doc_id", "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce(F.least("root", "own"), "doc_id").alias("component_id"))
+    placed = found.join(of_class, "digest", "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
