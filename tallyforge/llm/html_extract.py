@@ -5,7 +5,7 @@ Over the pages of a host every token has an occurrence vector: how often it stan
 same vector form an equivalence class; a class is valid if it stands on at least ``SUPPORT`` of the host's pages,
 once on each. The valid classes, nested as their paths nest, are the host's template, and the deepest template
 element around a piece of text is its slot. A slot is the main one if its element or one around it is an article
-or main element; hosts whose pages have none take the slot, outside of boilerplate elements, with the most text.
+or main element; hosts whose pages have none take the deepest slot that holds most of the text outside of boilerplate.
 
 Vectors are compared by fingerprint, the exclusive or of a hash of page and count, so that a host's pages are
 never gathered: tasks add up their own, and one row per host and token is left. The template of a host holds
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import join_small, written
 
 SUPPORT = 0.5
+#: Share of the fullest element's text that the main slot holds, on hosts without article or main elements.
+FULL = 0.6
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,14 +153,17 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
 
 
 def outline(html: str | None) -> tuple[Counter, Counter]:
-    """How often each path is opened on a page, and the characters of unskipped text under each path."""
+    """How often each path is opened on a page, and the characters of unskipped text anywhere below it."""
     opened: Counter = Counter()
     mass: Counter = Counter()
     for kind, value in walk(html or ""):
         if kind == "open":
             opened[value] += 1
         elif kind == "text" and not value[2]:
-            mass[value[0]] += len(value[1].strip())
+            size, path = len(value[1].strip()), value[0]
+            while size and path:
+                mass[path] += size
+                path = path.rpartition("/")[0]
     return opened, mass
 
 
@@ -243,8 +248,10 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     kept = classes.select("host", "pages", F.explode("tokens").alias("t")).select("host", "pages", "t.path", "t.mass")
     of_host = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "pages", "mass"))).alias("t"))
     is_main = r"regexp_like(x.path, '/(article|main)([.][^/]*)?$')"
-    most = "array_max(transform(t, x -> struct(x.mass as mass, x.path as path))).path"
-    main = F.expr(f"if(exists(t, x -> {is_main}), transform(t, x -> {is_main}), transform(t, x -> x.path = {most} and x.mass > 0))")
+    # Else the deepest element that holds most of what the fullest one holds.
+    full = f"{FULL} * array_max(transform(t, y -> y.mass))"
+    deepest = f"array_max(transform(filter(t, x -> x.mass > 0 and x.mass >= {full}), x -> struct(size(split(x.path, '/')) as depth, x.mass as mass, x.path as path))).path"
+    main = F.expr(f"if(exists(t, x -> {is_main}), transform(t, x -> {is_main}), transform(t, x -> coalesce(x.path = {deepest}, false)))")
     return written(of_host.select("host", F.expr("transform(t, x -> x.path)").alias("paths"), main.alias("main")))
 
 

@@ -56,15 +56,17 @@ def removals(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
-    """``docs`` without the repeated chunks, and _removed: how many each row lost."""
-    gone = removals(docs, window, divisor, long).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
-    rest = F.expr(f"array_join(transform(filter(transform({_chunks(window, divisor, long)}, (c, i) -> struct(c.text as text, i as i)), x -> not array_contains(_gone, x.i)), x -> x.text), '\n')")
-    changed = F.col("_gone").isNotNull()
-    out = joined.withColumn("text", F.when(changed, rest).otherwise(F.col("text")))
+    """``docs`` without the repeated chunks, and _removed: how many each row lost (a column of that name is replaced)."""
+    gone = removals(docs, window, divisor, long).withColumnsRenamed({"doc_id": "gone_id", "th": "gone_th"})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th")), "left")
+    rest = F.expr(f"array_join(transform(filter(transform({_chunks(window, divisor, long)}, (c, i) -> struct(c.text as text, i as i)), x -> not array_contains(gone, x.i)), x -> x.text), '\n')")
+    changed = F.col("gone").isNotNull()
+    joined = joined.withColumn("text", F.when(changed, rest).otherwise(F.col("text")))
+    out = {c: F.col("row")[c] for c in docs.columns if c != "_removed"} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0))).select(*docs.columns, "_removed")
+        out["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.select(*[c.alias(name) for name, c in out.items()], F.coalesce(F.size("gone"), F.lit(0)).alias("_removed"))
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:

@@ -59,25 +59,26 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies: how often the mix emits each row."""
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    targets = written(source_targets(sized.select("source", F.col("_size").alias("size")), weights, most))
-    targets = targets.select("source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    """row (the whole row of ``docs``), size, source_size, target and copies: how often the mix emits each row."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    targets = written(source_targets(sized.select("source", "size"), weights, most))
     joined = join_small(sized, targets, ["source"], "inner")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(1.0))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
-    return joined.withColumn("_rate", rate).withColumn("_copies", F.floor("_rate") + F.when(drawn < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).drop("_rate")
+    rated = joined.withColumn("rate", rate)
+    return rated.select("row", "size", "source_size", "target", (F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as its copies say, with the columns of ``docs``."""
-    return copies(docs, weights, most, seed).withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))))).select(*docs.columns)
+    emitted = copies(docs, weights, most, seed).filter("copies > 0")
+    return emitted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     mixed = copies(docs.select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 ORACLE = """

@@ -163,9 +163,9 @@ def judged(docs: DataFrame, share: float = SHARE, tail: float = TAIL) -> DataFra
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns. Verdicts are joined back on id and text hash."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source"))
-    verdicts = judged(keyed.select("_key", "text", "lang", "source")).filter("not _kept").select(F.col("_key")).distinct()
-    return keyed.join(verdicts, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text", "lang", "source").alias("key"))
+    verdicts = judged(docs.select(F.xxhash64("doc_id", "text", "lang", "source").alias("key"), "text", "lang", "source")).filter("not _kept").select("key").distinct()
+    return keyed.join(verdicts, "key", "left_anti").select("row.*")
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
