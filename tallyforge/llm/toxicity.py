@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are labelled documents outside the held-out part. Terms are runs of letters,
-lower-cased, and their beginnings of four to seven letters; the index
-holds the ``TERMS`` terms that tell the labels apart best by chi-square over the distinct training texts, weighted by
-inverse document frequency over the whole corpus. Of the examples at most ``EXAMPLES``, chosen by a hash of their
-id, enter the index: that bound is the only sample, and it keeps index and broadcast of fixed size.
+Examples are labelled documents outside the held-out part; where there are more than ``EXAMPLES``, about that many
+are taken by a hash of their id. That bound is the only sample: it keeps fitting, index and broadcast of fixed size.
+Terms are runs of letters, lower-cased, and their beginnings of four to seven letters; the index holds the ``TERMS``
+terms that tell the labels apart best by chi-square over the distinct texts of the examples, weighted by inverse
+document frequency over the whole corpus.
 
 The index is inverted: per term, postings in blocks of ``BLOCK`` examples with the block's greatest weight. A query
 bounds each block by its weights times these maxima, visits blocks from the greatest bound down and stops when no
@@ -193,13 +193,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = TERMS, max_examples
     spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id"), PARTS, HELD))
-    train = written(docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
+    marks = written(marks)
+    labelled = marks.count()
+    if labelled > max_examples:
+        # A fixed share of the ids by hash: about max_examples of them, however many there are.
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_examples / labelled)))
+    # Bounded by max_examples, so the labels go to the texts and no text is shuffled.
+    train = written(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
     n, bad = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     empty = {"index": None, "weights": {}, "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
     if not n or not bad or bad == n:
         return empty
-    base, rows_in = bad / n, n
-    # Chi-square of a term against the label, over the distinct texts of all training examples: copies of one
+    base = bad / n
+    # Chi-square of a term against the label, over the distinct texts of the examples: copies of one
     # document would make its own words tell.
     single = written(train.groupBy("text").agg(F.max("toxic").alias("toxic")))
     n, bad = single.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -216,7 +222,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = TERMS, max_examples
     frequency = {r["term"]: r["n"] for r in _term_counts(docs.select("text", F.lit(False)), chosen).collect()}
     rows = docs.count()
     weights = {t: (i, math.log((rows + 1) / (frequency.get(t, 0) + 1)) + 1) for i, t in enumerate(sorted(chosen.value))}
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) if rows_in > max_examples else train
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Terms(weights)
@@ -225,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_terms: int = TERMS, max_examples
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    examples = sample.mapInArrow(run, f"doc_id {kind}, toxic int, t array<int>, w array<double>").orderBy("doc_id").toArrow().to_pylist()
+    examples = train.mapInArrow(run, f"doc_id {kind}, toxic int, t array<int>, w array<double>").orderBy("doc_id").toArrow().to_pylist()
     bare = [e["toxic"] for e in examples if not e["t"]]
     prior = (sum(bare) + base) / (len(bare) + 1)
     told = [e for e in examples if e["t"]]
