@@ -190,7 +190,7 @@ def _training_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        grams = np.zeros(256 << sum(BITS), dtype=np.int64)
+        grams = np.zeros(256 << sum(BITS), dtype=np.uint32)  # of one task
         for batch in batches:
             texts = batch.column(0).to_pylist()
             words[END_TOKEN.encode()] += len(texts)
@@ -202,9 +202,9 @@ def _training_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             at = 0
             while at < len(starts):  # whole texts, about CHUNK bytes at once
                 to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
-                grams += np.bincount(cells(data[starts[at] : ends[to - 1]]), minlength=len(grams))
+                grams += np.bincount(cells(data[starts[at] : ends[to - 1]]), minlength=len(grams)).astype(np.uint32)
                 at = to
-            if len(words) > 500_000:
+            if len(words) > 250_000:
                 yield _rows(words, None)
                 words.clear()
         yield _rows(words, grams)
@@ -243,15 +243,14 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
             break
         least = 1 << level["level"]
     top = words.filter(F.col("c") >= least).toArrow() if levels and levels[0]["n"] <= head else None
-    frequent = dict(zip((w.encode() for w in top["token"].to_pylist()), top["c"].to_pylist())) if top else {}
+    below = math.log10(n + v + 1)
+    frequent = {w.encode(): math.log10(c + 1) - below for w, c in zip(top["token"].to_pylist(), top["c"].to_pylist())} if top else {}
     sent = spark.sparkContext.broadcast((logs.reshape(-1), frequent))
     del logs, top
     whole = v <= head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, known = sent.value
-        below = math.log10(n + v + 1)
-        value = {w: math.log10(c + 1) - below for w, c in known.items()}
+        flat, value = sent.value
         end = END_TOKEN.encode()
         for batch in batches:
             texts = batch.column(1).to_pylist()
