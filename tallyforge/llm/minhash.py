@@ -33,10 +33,10 @@ from tallyforge.llm.shared import written
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 #: Coordinates in all, of which one bit each makes the sketch; places of the circle, as a power of two.
-COORDINATES, CIRCLE = 512, 22
-#: Bits that sketches of linked sets may differ in: of 512, sets at 0.75 differ in 64 on average, and in more than
-#: 107 less than once in ten million times.
-SKETCH_BITS = 107
+COORDINATES, CIRCLE = 2048, 22
+#: Bits that sketches of linked sets may differ in: of 2048, sets at 0.75 differ in 256 on average (deviation 15),
+#: and in more than 323 about three times in a million.
+SKETCH_BITS = 323
 ROUNDS = 2
 #: Pairs across components per candidate document, up to which they are verified without another hub.
 FEW = 4
