@@ -1,20 +1,22 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-A page's tokens are its elements, each told by its path from the root with the classes and ids of containers.
-Over the pages of a host every token has an occurrence vector: how often it stands on each page. Tokens with the
-same vector form an equivalence class; a class is valid if it stands on at least ``SUPPORT`` of the host's pages,
-once on each. The valid classes, nested as their paths nest, are the host's template, and the deepest template
-element around a piece of text is its slot. A slot is the main one if its element or one around it is an article
-or main element; hosts whose pages have none take the deepest slot that holds most of the text outside of boilerplate.
-
-Vectors are compared by fingerprint, the exclusive or of a hash of page and count, so that a host's pages are
-never gathered: tasks add up their own, and one row per host and token is left. The template of a host holds
-the tokens of most of its pages only, and is joined without gathering pages by host.
-
-Within the main slots the text of menus, headers, footers, asides, notices, adverts, forms, comment sections,
-scripts and styles is left out by element name, role, class or id. Character references are decoded, white space
-within a block becomes one space, blocks are joined in page order by one space. Nothing else is dropped: text
-that other pages hold too stays.
+A page's tokens are its elements, each told by its path from the root with the classes and ids of containers, and
+the words of its text, each told by the path of the block element it stands in and by how often that block held the
+word before. Over the pages of a host every token has an occurrence vector: how often it stands on each page.
+Tokens with the same vector form an equivalence class. A class is valid if it stands on at least ``SUPPORT`` of the
+host's pages; its words are template if they stand once on each page, or as often as the element around them.
+A block whose words are all template and of one class is template text and left out; a block with any other word
+is a slot and kept whole, so that a label stays with its value. All slots are extracted.
+
+Vectors are compared by fingerprint, the exclusive or of a hash of page and count, so that a host's pages are never
+gathered. Words are counted in two passes: what stands on ``SUPPORT`` of a host's pages stands on as many of its
+pages in some batch, so only what does is counted over all pages. Hosts of fewer than ``LEAST_PAGES`` different
+pages have no template.
+
+Names are hints for slots: the text of menus, headers, footers, asides, notices, adverts, forms, comment sections,
+scripts and styles is left out by element name, role, class or id, and a page with article or main elements gives
+the slots within them only. Character references are decoded, white space within a block becomes one space, blocks
+are joined in page order by one space.
 
 Null and empty pages have an empty text; a null url is a host of its own, as is one without a host; unclosed and
 crossed tags are repaired as browsers do in outline. Repeated rows cancel out of a vector alike for all its tokens.
@@ -32,11 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import join_small, written
+from tallyforge.llm.shared import BROADCAST_ROWS, join_small, written
 
 SUPPORT = 0.5
-#: Share of the fullest element's text that the main slot holds, on hosts without article or main elements.
-FULL = 0.6
+#: Fewest different pages of a host that tell template from text.
+LEAST_PAGES = 4
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,21 +78,25 @@ def _skipped(name: str, attributes: dict[str, str]) -> bool:
 
 
 def walk(html: str) -> Iterator[tuple[str, object]]:
-    """("open", path), ("close", path), ("break", None) and ("text", (path, text, skipped, in_main)) in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, skipped, in main
-    at, size = 0, len(html)
+    """("open", path), ("close", path), ("break", None) and ("text", (block, text, skipped, in_main)) in page order.
+
+    A block is the number and path of the block element around a text; the page itself is number 0.
+    """
+    stack: list[tuple[str, str, bool, bool, tuple[int, str]]] = []  # name, path, skipped, in main, block
+    outside = ("", "", False, False, (0, ""))
+    at, size, blocks = 0, len(html), 0
 
     def close(upto: int) -> Iterator[tuple[str, object]]:
         while len(stack) > upto:
-            name, path, _, _ = stack.pop()
+            name, path, *_ = stack.pop()
             if name not in INLINE:
                 yield "break", None
             yield "close", path
 
     def text(raw: str) -> Iterator[tuple[str, object]]:
         if raw:
-            _, path, skipped, main = stack[-1] if stack else ("", "", False, False)
-            yield "text", (path, unescape(raw), skipped, main)
+            _, _, skipped, main, block = stack[-1] if stack else outside
+            yield "text", (block, unescape(raw), skipped, main)
 
     while at < size:
         found = TOKEN.search(html, at)
@@ -132,15 +138,19 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
         attributes = _attributes(found[3])
         own = name
         if name in CONTAINERS and (attributes.get("class") or attributes.get("id")):
-            own += "." + re.sub(r"\d+", "0", f"{attributes.get('class', '')}#{attributes.get('id', '')}")
-        above = stack[-1] if stack else ("", "", False, False)
+            own += "." + re.sub(r"\d+", "0", " ".join(f"{attributes.get('class', '')}#{attributes.get('id', '')}".split()))
+        above = stack[-1] if stack else outside
         main = above[3] or name in MAIN or attributes.get("role", "").lower() in MAIN_ROLES or attributes.get("itemprop", "") == "articleBody"
         # A header within an article may hold its heading; elsewhere it is the page's own.
         skipped = above[2] or _skipped(name, attributes)
         path = f"{above[1]}/{own}" if len(stack) < 64 else above[1]
         if found[3].endswith("/") and name not in INLINE and name in ("svg", "path"):
             continue
-        stack.append((name, path, skipped, main))
+        block = above[4]
+        if name not in INLINE:
+            blocks += 1
+            block = (blocks, path)
+        stack.append((name, path, skipped, main, block))
         yield "open", path
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -152,117 +162,145 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
     yield from close(0)
 
 
-def outline(html: str | None) -> tuple[Counter, Counter]:
-    """How often each path is opened on a page, and the characters of unskipped text anywhere below it."""
-    opened: Counter = Counter()
-    mass: Counter = Counter()
+def _tokens(blocks: dict[tuple[int, str], list[str]]) -> Iterator[tuple[tuple[int, str], list[str]]]:
+    """The word tokens of each block: path, word and, after its first time in the block, how often it came before."""
+    for block, parts in blocks.items():
+        words = Counter("".join(parts).split())
+        yield block, [f"{block[1]}\t{w}" if j == 0 else f"{block[1]}\t{w}\t{j}" for w, n in words.items() for j in range(n)]
+
+
+def outline(html: str | None) -> dict[str, Counter]:
+    """How often each token stands on a page, by path: "" for the element, and the words of its unskipped text."""
+    found: dict[str, Counter] = {}
+    blocks: dict[tuple[int, str], list[str]] = {}
+    broken = False
     for kind, value in walk(html or ""):
         if kind == "open":
-            opened[value] += 1
+            found.setdefault(value, Counter())[""] += 1
+        elif kind == "break":
+            broken = True
         elif kind == "text" and not value[2]:
-            size, path = len(value[1].strip()), value[0]
-            while size and path:
-                mass[path] += size
-                path = path.rpartition("/")[0]
-    return opened, mass
-
-
-def extract(html: str | None, template: dict[str, bool] | None) -> str:
-    """Main text of a page. ``template``: the host's template paths and which of them are main slots."""
+            blocks.setdefault(value[0], []).append(f" {value[1]}" if broken else value[1])
+            broken = False
+    for (_, path), parts in blocks.items():
+        words = Counter("".join(parts).split())
+        at = found.setdefault(path, Counter())
+        at.update(words.keys())
+        at.update(f"{w}\t{j}" for w, n in words.items() if n > 1 for j in range(1, n))
+    return found
+
+
+def extract(html: str | None, template: dict[str, int] | None) -> str:
+    """Main text of a page. ``template``: the class of each template word of the host."""
     template = template or {}
-    blocks: list[str] = []
-    current: list[str] = []
-    loose: list[str] = []
-    loose_current: list[str] = []
-    slots: dict[str, bool] = {}
-    has_main = False
-
-    def main_slot(path: str) -> bool:
-        known = slots.get(path)
-        if known is None:
-            at, known = path, False
-            while at:
-                if template.get(at):
-                    known = True
-                    break
-                at = at.rpartition("/")[0]
-            slots[path] = known
-        return known
-
-    def flush() -> None:
-        for parts, out in ((current, blocks), (loose_current, loose)):
-            if parts:
-                block = " ".join("".join(parts).split())
-                if block:
-                    out.append(block)
-                parts.clear()
-
+    pieces: list[tuple | None] = []
+    blocks: dict[tuple[int, str], list[str]] = {}
+    broken = False
     for kind, value in walk(html or ""):
         if kind == "break":
-            flush()
-        elif kind == "text":
-            path, text, skipped, in_main = value
-            if skipped:
-                continue
-            if in_main or main_slot(path):
-                has_main = has_main or bool(text.strip())
-                current.append(text)
-            loose_current.append(text)
-    flush()
-    return " ".join(blocks if has_main else loose)
+            broken = True
+            pieces.append(None)
+        elif kind == "text" and not value[2]:
+            blocks.setdefault(value[0], []).append(f" {value[1]}" if broken else value[1])
+            broken = False
+            pieces.append(value)
+    fixed = set()
+    if template:
+        for block, tokens in _tokens(blocks):
+            classes = {template.get(t) for t in tokens}
+            if len(classes) == 1 and None not in classes:
+                fixed.add(block)
+    has_main = any(p is not None and p[3] and p[1].strip() for p in pieces)
+    out: list[str] = []
+    current: list[str] = []
+    for piece in [*pieces, None]:
+        if piece is None:
+            text = " ".join("".join(current).split())
+            if text:
+                out.append(text)
+            current.clear()
+        elif piece[0] not in fixed and (piece[3] or not has_main):
+            current.append(piece[1])
+    return " ".join(out)
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host, paths and main (arrays of equal length) of every host of ``pages`` (host, html), written."""
+def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, tokens and classes (arrays of equal length) of the template words of the hosts of ``pages`` (host, html), written."""
+    each = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.count("*").alias("n"))
+    sizes = written(each.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("different")).filter(F.col("different") >= least_pages).select("host", "n"))
+    able = join_small(pages.select("host", "html"), sizes, ["host"], "inner").select("host", "html")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            found: dict[tuple[str, str], Counter] = {}
+            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[name] += 1
+                for path, tokens in outline(html).items():
+                    found.setdefault((name, path), Counter()).update(tokens.keys())
+            rows = [(name, f"{path}\t{t}") for (name, path), tokens in found.items() for t, n in tokens.items() if n >= support * seen[name]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", "token"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple, list] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = xxhash.xxh3_64_intdigest((html or "").encode())
-                opened, mass = outline(html)
-                for path, n in [("", 1), *opened.items()]:
-                    row = found.setdefault((name, path), [0, 0, 0, 0])
-                    print_ = xxhash.xxh3_64_intdigest(f"{page}:{n}".encode())
-                    row[0] += 1
-                    row[1] += n == 1
-                    row[2] ^= print_
-                    row[3] += mass.get(path, 0)
+                prints: dict[int, int] = {}
+                for path, tokens in outline(html).items():
+                    for t in tokens if wanted is None else tokens.keys() & wanted.get((name, path), nothing):
+                        n = tokens[t]
+                        if n not in prints:
+                            prints[n] = xxhash.xxh3_64_intdigest(f"{page}:{n}".encode())
+                        row = found.setdefault((name, f"{path}\t{t}"), [0, 0, 0])
+                        row[0] += 1
+                        row[1] += n == 1
+                        row[2] ^= prints[n]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string())]
                 + [pa.array([v[j] for v in found.values()], pa.int64()) for j in (0, 1)]
-                + [pa.array([v[2] - (1 << 64) if v[2] >> 63 else v[2] for v in found.values()], pa.int64()), pa.array([v[3] for v in found.values()], pa.int64())],
-                names=["host", "path", "pages", "once", "vector", "mass"],
+                + [pa.array([v[2] - (1 << 64) if v[2] >> 63 else v[2] for v in found.values()], pa.int64())],
+                names=["host", "token", "pages", "once", "vector"],
             )
 
-    tokens = pages.select("host", "html").mapInArrow(run, "host string, path string, pages long, once long, vector long, mass long")
-    tokens = written(tokens.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass")))
-    sizes = written(tokens.filter("path = ''").select("host", F.col("pages").alias("n")))
-    # Equivalence classes: tokens of a host with one vector, hence equal pages and once as well.
-    valid = join_small(tokens.filter("path != ''"), sizes, ["host"], "inner").filter((F.col("once") == F.col("pages")) & (F.col("pages") >= support * F.col("n")))
-    classes = valid.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("path", "mass")).alias("tokens"))
-    kept = classes.select("host", "pages", F.explode("tokens").alias("t")).select("host", "pages", "t.path", "t.mass")
-    of_host = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "pages", "mass"))).alias("t"))
-    is_main = r"regexp_like(x.path, '/(article|main)([.][^/]*)?$')"
-    # Else the deepest element that holds most of what the fullest one holds.
-    full = f"{FULL} * array_max(transform(t, y -> y.mass))"
-    deepest = f"array_max(transform(filter(t, x -> x.mass > 0 and x.mass >= {full}), x -> struct(size(split(x.path, '/')) as depth, x.mass as mass, x.path as path))).path"
-    main = F.expr(f"if(exists(t, x -> {is_main}), transform(t, x -> {is_main}), transform(t, x -> coalesce(x.path = {deepest}, false)))")
-    return written(of_host.select("host", F.expr("transform(t, x -> x.path)").alias("paths"), main.alias("main")))
+    candidates = written(able.mapInArrow(frequent, "host string, token string").distinct())
+    wanted: dict[tuple[str, str], set[str]] | None = None
+    nothing: set[str] = set()
+    if candidates.count() <= BROADCAST_ROWS:
+        wanted = {}
+        for name, token in candidates.toLocalIterator():
+            path, _, t = token.partition("\t")
+            wanted.setdefault((name, path), set()).add(t)
+    tokens = able.mapInArrow(counted, "host string, token string, pages long, once long, vector long")
+    if wanted is None:
+        tokens = tokens.join(candidates, ["host", "token"], "left_semi")
+    tokens = tokens.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"))
+    tokens = written(tokens.withColumn("path", F.substring_index("token", "\t", 1)).withColumn("is_word", F.length("token") > F.length("path") + 1))
+    valid = join_small(tokens, sizes, ["host"], "inner").filter(F.col("pages") >= support * F.col("n")).drop("n")
+    # Words nest in the class of the element around them, or stand once on each page of their own class.
+    around = valid.filter("not is_word").select("host", "path", F.col("vector").alias("element"))
+    words = valid.filter("is_word").join(around, ["host", "path"], "left").filter((F.col("once") == F.col("pages")) | F.col("vector").eqNullSafe(F.col("element")))
+    of_host = words.groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("t"))
+    return written(of_host.select("host", F.col("t.token").alias("tokens"), F.col("t.vector").alias("classes")))
 
 
 def extracted(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """page_id, url and text of every row of ``pages``."""
     hosted = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = join_small(hosted, templates(hosted, support), ["host"], "left").select("page_id", "url", "html", "paths", "main")
+    joined = join_small(hosted, templates(hosted, support), ["host"], "left").select("page_id", "url", "host", "html", "tokens", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, dict(zip(p or [], m or []))) for h, p, m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            known: dict[str, dict[str, int]] = {}
+            texts = []
+            for k, (name, html) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if name not in known:
+                    known[name] = dict(zip(batch.column(4)[k].as_py() or [], batch.column(5)[k].as_py() or []))
+                texts.append(extract(html, known[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
