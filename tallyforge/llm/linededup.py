@@ -2,9 +2,9 @@
 
 A rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is divisible by ``DIVISOR``, so that
 boundaries follow the content and come back a few lines after an insertion. A line of ``LONG`` words or more is a
-chunk of its own: a passage is then found whatever stands around it. Chunks of two lines or more with words, and
-long lines, that occur again anywhere in the corpus are removed, all but the first occurrence by doc_id and
-place, after their text is compared byte for byte with that of the first.
+chunk of its own: a passage is then found whatever stands around it. Any two lines in a row with words are matched
+too, so that a passage of several lines goes whole wherever chunks end. What of these occurs again anywhere in the corpus is removed, all but the first occurrence by doc_id and
+place, after its text is compared byte for byte with that of the first.
 
 Lines end at line feeds; words are told apart by spaces here. Null texts stay null and empty ones empty; a
 document whose chunks all go stays with an empty text. Rows alike in id and text share one decision. ``n_chars``,
@@ -38,29 +38,46 @@ def _chunks(window: int, divisor: int, long: int) -> str:
           transform(e, (to, k) -> struct(
             array_join(slice(l, if(k = 0, 0, e[greatest(k - 1, 0)] + 1) + 1, to - if(k = 0, -1, e[greatest(k - 1, 0)])), '\n') as text,
             size(filter(slice(l, if(k = 0, 0, e[greatest(k - 1, 0)] + 1) + 1, to - if(k = 0, -1, e[greatest(k - 1, 0)])), x -> trim(x) != '')) as n_lines,
-            m.big[to] as big)))[0])[0])[0]
+            m.big[to] as big,
+            if(k = 0, 0, e[greatest(k - 1, 0)] + 1) as from,
+            to as to)))[0])[0])[0]
     """
 
 
+def _units(window: int, divisor: int, long: int) -> str:
+    """SQL for the array of (text, from, to) of all that is matched: long lines, chunks, and any two lines in a row.
+
+    A chunk without blank lines is covered by its pairs of lines, so only others are listed.
+    """
+    chunks = f"transform(filter({_chunks(window, divisor, long)}, c -> c.big or (c.n_lines >= 2 and c.n_lines <= c.to - c.from)), c -> struct(c.text as text, c.from as from, c.to as to))"
+    pairs = """
+    transform(array(split(text, '\n', -1)), l ->
+      transform(
+        filter(sequence(0, greatest(size(l) - 2, 0)), i -> size(l) > 1 and trim(l[i]) != '' and trim(l[least(i + 1, size(l) - 1)]) != ''),
+        i -> struct(concat(l[i], '\n', l[i + 1]) as text, i as from, i + 1 as to)))[0]
+    """
+    return f"concat({chunks}, {pairs})"
+
+
 def removals(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
-    """doc_id, th (hash of the text) and gone (places of the chunks to remove) of the documents that lose chunks."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.expr(_chunks(window, divisor, long)).alias("c"))
-    each = keyed.select("doc_id", "th", F.posexplode("c").alias("at", "c")).filter((F.col("c.n_lines") >= 2) | F.col("c.big")).select("doc_id", "th", "at", F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("hash"))
-    place = F.struct("doc_id", "th", "at")
+    """doc_id, th (hash of the text) and gone (places of the lines to remove) of the documents that lose lines."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.expr(_units(window, divisor, long))).alias("c"))
+    each = keyed.select("doc_id", "th", F.col("c.from").alias("at"), F.col("c.to").alias("upto"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("hash"))
+    place = F.struct("doc_id", "th", "at", "upto")
     again = each.select("hash", place.alias("place")).groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     again = written(again.filter("n > 1").select("hash", "first"))
-    repeated = written(each.join(again, "hash").withColumn("is_first", F.struct("doc_id", "th", "at").eqNullSafe(F.col("first"))).drop("first"))
+    repeated = written(each.join(again, "hash").withColumn("is_first", F.struct("doc_id", "th", "at", "upto").eqNullSafe(F.col("first"))).drop("first"))
     first = repeated.filter("is_first").groupBy("hash").agg(F.first("chunk").alias("first_chunk"))
     same = repeated.filter("not is_first").join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
-    return same.groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
+    return same.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", "upto")))).alias("gone"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
-    """``docs`` without the repeated chunks, and _removed: how many each row lost (a column of that name is replaced)."""
+    """``docs`` without the repeated lines, and _removed: how many lines each row lost (a column of that name is replaced)."""
     gone = removals(docs, window, divisor, long).withColumnsRenamed({"doc_id": "gone_id", "th": "gone_th"})
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th")), "left")
-    rest = F.expr(f"array_join(transform(filter(transform({_chunks(window, divisor, long)}, (c, i) -> struct(c.text as text, i as i)), x -> not array_contains(gone, x.i)), x -> x.text), '\n')")
+    rest = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(gone, i)), '\n')")
     changed = F.col("gone").isNotNull()
     joined = joined.withColumn("text", F.when(changed, rest).otherwise(F.col("text")))
     out = {c: F.col("row")[c] for c in docs.columns if c != "_removed"} | {"text": F.col("text")}
@@ -70,6 +87,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long: i
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_removed (chunks), n_chars (of what is left) and the text that is left."""
+    """doc_id, n_removed (lines), n_chars (of what is left) and the text that is left."""
     out = dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_removed").cast("long").alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "text")
