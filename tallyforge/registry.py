@@ -90,7 +90,7 @@ def _segments(df: DataFrame) -> DataFrame:
 
 def _churn_model(df: DataFrame) -> DataFrame:
     split = M.churn_split(X.churn_features(df))
-    model = M.fit_churn(split.filter("not is_test"), trees=50, depth=8)
+    model = M.fit_churn(split.filter("not is_test"))
     return M.churn_scores(model, split.filter("is_test")).select("customer_id", "label", "score")
 
 
@@ -154,7 +154,7 @@ QUERIES = {
     "binary_metrics": _tx(lambda df: E.binary_metrics(_scored(df))),
     "roc_auc_rank": _tx(lambda df: E.roc_auc(_scored(df))),
     "cluster_profile": _tx(lambda df: E.cluster_profile(A.customer_rfm(df, exact=True).withColumn("cluster", F.substring("rfm_score", 1, 1)), ("recency_days", "frequency", "monetary"))),
-    "kmeans_k_sweep": _tx(lambda df: M.k_sweep(_clustering(df), k_max=5, starts=2)),
+    "kmeans_k_sweep": _tx(lambda df: M.k_sweep(_clustering(df))),
     "segmentation_assignments": _tx(_segments),
     "churn_scores": _tx(_churn_model),
     "dash_pca": _tx(lambda df: M.principal_components(_clustering(df))),
