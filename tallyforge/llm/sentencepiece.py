@@ -24,15 +24,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm.shared import sliced
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Memo sizes in entries; what a full memo forgets costs time only.
-SEGMENTS, PAIRS = 250_000, 1_000_000
+SEGMENTS, PAIRS = 80_000, 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -123,6 +124,7 @@ class Codec:
         self._pairs: dict[int, dict[int, bool]] = {}
         self._count = 0
         self._splits: dict[str, tuple[str, str] | None] = {}
+        self.widest = 0  # the longest window so far, in characters
 
     def _merged(self, text: str) -> tuple[list[str], list[str]]:
         """Rank-order merging of a short text, and the parts just before its last merge."""
@@ -190,12 +192,13 @@ class Codec:
         model, fits = self.model, self._pairs
         scores, longest, trie, bpe = model.scores, model.longest, model.trie, model.kind == BPE
         done, total = 0, len(text)
-        size = [0] * (total + 1 if total < 8 * longest else 8 * longest)  # of the piece ending at done + k
+        size = [0] * min(total + 1, 3 * longest)  # of the piece ending at done + k: the window
+        self.widest = max(self.widest, len(size))
         piece_at = [-1] * len(size)
         score: list[float | None] = [None] * len(size)
         score[0] = 0.0
         for j in range(total):
-            if j - done >= 4 * longest and j % longest == 0:
+            if j - done >= 2 * longest and j % longest == 0:
                 meet = self._meeting(size, done, set(range(j - longest + 1, j + 1)))
                 if meet > done:
                     yield from self._path(size, piece_at, done, meet)
@@ -204,10 +207,11 @@ class Codec:
                     done = meet
             at = j - done
             if len(size) <= at + longest and len(size) <= total - done:
-                more = 8 * longest
+                more = longest
                 size += [0] * more
                 piece_at += [-1] * more
                 score += [None] * more
+                self.widest = max(self.widest, len(size))
             before, value = piece_at[at], score[at]
             known = fits.get(before)
             if known is None:
@@ -322,6 +326,12 @@ def _model_bytes(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _id_lists(ids: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    sizes = np.array([len(x) for x in ids], dtype=np.int32)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)), pa.array(sizes)
+
+
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text") -> DataFrame:
     """Add ``ids`` (array of int) and ``n_ids`` to every row; rows, order within tasks and columns are kept.
 
@@ -333,13 +343,10 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in batches:
+        for batch in sliced(batches, text):
             where = batch.schema.get_field_index(text)
-            ids = [codec.encode(t.as_py()) for t in batch.column(where)]
-            sizes = np.array([len(x) for x in ids], dtype=np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], lists, pa.array(sizes)], names=[*kept, "ids", "n_ids"])
+            lists, sizes = _id_lists([codec.encode(t.as_py()) for t in batch.column(where)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], lists, sizes], names=[*kept, "ids", "n_ids"])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -352,7 +359,7 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL, ids: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in batches:
+        for batch in sliced(batches, ids):
             lists = batch.column(batch.schema.get_field_index(ids))
             texts = [codec.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(texts, pa.string())], names=[*kept, into])
@@ -360,7 +367,25 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL, ids: str = "ids"
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
+def round_trips(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+    """doc_id, n_ids, ids and round_trip of (doc_id, text): encoded and decoded again by one worker, with one model."""
+    model = _model_bytes(docs, model_path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model.value)
+        for batch in sliced(batches, "text"):
+            ids, same = [], []
+            for t in batch.column(1):
+                raw = t.as_py() or ""
+                ids.append(codec.encode(raw))
+                same.append(codec.decode(ids[-1].tolist()) == raw.replace(MARK, " "))
+            lists, sizes = _id_lists(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, lists, pa.array(same)], names=["doc_id", "n_ids", "ids", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids int, ids array<int>, round_trip boolean")
+
+
 def encode_query(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, n_ids, ids, and whether decoding the ids gives the text back."""
-    encoded = encode(docs.select("doc_id", "text"), model_path)
-    return decode(encoded, model_path).select("doc_id", "n_ids", "ids", F.coalesce(F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " "), F.lit(False)).alias("round_trip"))
+    return round_trips(docs, model_path)

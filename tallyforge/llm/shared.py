@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, return.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 50_000
+#: Bytes of one column that a Python worker turns into objects at once.
+SLICE = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see; a local one only where none is named."""
+    """A folder that the driver and all executors see; without one, a temporary folder in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     own = tempfile.mkdtemp(prefix="tallyforge-")
@@ -58,3 +66,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` when divided by ``parts``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``most`` bytes of ``column``: Arrow counts rows, not bytes."""
+    for batch in batches:
+        values, rows = batch.column(batch.schema.get_field_index(column)), batch.num_rows
+        if values.nbytes <= most or rows < 2:
+            yield batch
+            continue
+        is_list = pa.types.is_list(values.type)
+        sizes = pc.fill_null(pc.list_value_length(values) if is_list else pc.binary_length(values), 0)
+        total = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) * (4 if is_list else 1))
+        at = 0
+        while at < rows:
+            before = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
