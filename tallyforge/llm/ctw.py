@@ -1,21 +1,23 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A byte is eight binary decisions; each decision has, for every depth from none to ``len(BITS)`` preceding bytes,
-a node whose Krichevsky-Trofimov estimate is learnt from the training texts. The tree weighting mixes the
-estimates of all depths: a node's block probability is half its own estimate and half the product of its
-children's, which fixes how much of a prediction comes from each depth. A text ends with END, which no UTF-8
-text holds, so that lengths carry probability too.
-
-Preceding bytes enter a context as classes (``BITS`` bits each, nearest first), so the tree has at most
-2 ** sum(BITS) contexts of 256 symbols: the model's size is fixed, whatever the corpus, and it is broadcast as
-one table of log probabilities. Counts come from all training texts. A context that was never seen predicts as
-its parent does.
-
-The base score is an add-one unigram score over words. Its vocabulary grows without bound, so only the most
-frequent ``HEAD`` words are broadcast; the others of each document are joined with the counts, and nothing is
-dropped.
-
-Null and empty texts hold the end token and END alone. Repeated rows count as often as they occur.
+A byte is eight binary decisions; each decision has, for every depth from none to ``DEPTH`` preceding bytes, a node
+whose Krichevsky-Trofimov estimate is learnt from the training texts. The tree weighting mixes the estimates of all
+depths: a node's block probability is half its own estimate and half the product of its children's, which fixes how
+much of a prediction comes from each depth. Contexts are whole bytes and end at the beginning of their text, before
+which END is read; END, which no UTF-8 text holds, also follows each text, so that lengths carry probability.
+
+The tree is sparse and lies in distributed tables that grow with the corpus. A cell is a context of ``DEPTH`` bytes
+and the byte after it; cells of all texts are counted in the training texts (held-out ones may count nothing). Cells
+under one context of ``SPLIT`` bytes form a group: its subtree is worked out in memory, the levels above are a few
+aggregations, and what they give comes back to each group. A node that training never saw predicts as its parent
+does. The result is a table of the log probability of every cell that any text holds.
+
+The base score is an add-one unigram score over words. Both tables grow without bound, so only their most frequent
+rows, at most ``HEAD`` words and ``CELLS`` cells, are broadcast; the other words and cells of each document are joined
+with the tables, and nothing is dropped.
+
+Null and empty texts hold the end token and END alone. Repeated rows count as often as they occur, ties do not matter,
+and other columns, whatever their names, are ignored. Texts are read in slices of bounded size, long ones whole.
 """
 
 from __future__ import annotations
@@ -26,66 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import held_out, written
+from tallyforge.llm.shared import held_out, sliced, written
 
 PARTS, HELD = 7, 2
-#: Bits of the class of each preceding byte, nearest first.
-BITS = (6, 5, 5)
+#: Preceding bytes of the longest context (at most 6), and of the contexts whose subtrees are worked out in memory.
+DEPTH, SPLIT = 5, 3
 END = 0xFF
-HEAD = 200_000
 END_TOKEN = "\n"  # no word holds white space
-#: Bytes scored at once.
-CHUNK = 1 << 22
-
-
-def byte_classes(bits: int) -> np.ndarray:
-    """Class of each byte. Six bits tell letters apart without case; fewer bits keep the low ones of a mix."""
-    out = np.zeros(256, dtype=np.uint32)
-    for b in range(256):
-        if 65 <= b <= 90 or 97 <= b <= 122:
-            k = (b | 32) - 96  # 1 to 26
-        elif 48 <= b <= 57:
-            k = 27
-        elif b in (32, 9):
-            k = 28
-        elif b in (10, 13, END):
-            k = 29
-        elif b < 128:
-            k = 30 + b % 6  # 30 to 35
-        else:
-            k = 36 + b % 28  # 36 to 63
-        out[b] = k
-    if bits >= 6:
-        return out
-    groups = 1 << bits
-    vowels = {ord(c) - 96: i for i, c in enumerate("aeiou")}
-    for b in range(256):
-        k = int(out[b])
-        if bits >= 5:
-            out[b] = k if k <= 26 else 27 + min(k - 27, 3) if k < 36 else 31
-        elif k in vowels:
-            out[b] = vowels[k] % max(1, groups // 4)
-        elif k <= 26:
-            out[b] = max(1, groups // 4) + k % max(1, groups // 2)
-        else:
-            out[b] = groups - 1
-    return out
-
-
-def cells(data: np.ndarray, bits: tuple[int, ...] = BITS) -> np.ndarray:
-    """Context and byte of every position of ``data``, whose texts all end with END: context * 256 + byte."""
-    context = np.zeros(len(data), dtype=np.uint32)
-    shift = sum(bits)
-    for depth, n in enumerate(bits, 1):
-        shift -= n
-        classes = byte_classes(n)
-        seen = np.full(len(data), classes[END], dtype=np.uint32)
-        seen[depth:] = classes[data[:-depth]] if len(data) > depth else seen[depth:]
-        context |= seen << np.uint32(shift)
-    return context << np.uint32(8) | data
+#: Words and cells that are broadcast at most.
+HEAD, CELLS = 100_000, 1 << 20
+#: Distinct cells that a counting task holds, cells of a subtree's step, and words it holds, before they go out.
+HELD_CELLS, STEP, HELD_WORDS = 1_500_000, 60_000, 150_000
 
 
 def joined_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +51,25 @@ def joined_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes([END]).join(raw) + bytes([END]), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
+def cells(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The cell of every position: the preceding bytes, nearest first, then the byte itself, as one integer."""
+    out = data.astype(np.int64)
+    for d in range(1, depth + 1):
+        out[d:] |= data[:-d].astype(np.int64) << (8 * (depth + 1 - d))
+    for offset in range(depth):  # what comes before a text's beginning reads as END
+        at = starts + offset
+        out[at[at < len(out)]] |= ((1 << (8 * (depth - offset))) - 1) << 8
+    return out
+
+
+def counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the sums of their weights."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    return values[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x of at least one half."""
     shift = np.zeros_like(x)
@@ -105,195 +80,299 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
-def _log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a run with these counts."""
-    out = np.zeros(len(zeros))
-    some = (zeros + ones) > 0
-    a, b = zeros[some].astype(np.float64), ones[some].astype(np.float64)
-    out[some] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1)
-    return out
+    a, b = zeros.astype(np.float64), ones.astype(np.float64)
+    return np.where(a + b > 0, _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1), 0.0)
 
 
-def table(cell: np.ndarray, count: np.ndarray, bits: tuple[int, ...] = BITS) -> np.ndarray:
-    """log10 probability of each byte in each deepest context, float32 of shape (2 ** sum(bits), 256).
+def _sql_log_gamma(x: Column) -> Column:
+    rising = x
+    for k in range(1, 8):
+        rising = rising * (x + F.lit(float(k)))
+    y = x + F.lit(8.0)
+    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(rising)
 
-    Subtrees under one class of the nearest byte are worked out one at a time, so little more than the result
-    is held.
+
+def _sql_log_block() -> Column:
+    a, b = F.col("n0").cast("double"), F.col("n1").cast("double")
+    value = _sql_log_gamma(a + 0.5) + _sql_log_gamma(b + 0.5) - F.lit(math.log(math.pi)) - _sql_log_gamma(a + b + 1.0)
+    return F.when(a + b > 0, value).otherwise(0.0)
+
+
+class Subtrees:
+    """The subtrees of some contexts of ``split`` bytes, from their cells (sorted) and counts.
+
+    A node is a context of some depth and the first bits of the next byte: its number is the context, then a byte
+    with a one before those bits. ``levels`` go from the deepest up to ``split``; each has the nodes' numbers, the
+    counts of zeros and ones, the logarithms of their own and of their weighted block probability, and for each node
+    its place in the level above.
     """
-    total, inner = sum(bits), sum(bits[1:])
-    depths = [sum(bits[1:d]) for d in range(1, len(bits) + 1)]  # bits below the nearest byte's class
-    chunks = 1 << bits[0]
-    order = np.argsort(cell, kind="stable")
-    cell, count = cell[order], count[order]
-    byte = cell & 255
-    below = (cell >> 8) & ((1 << inner) - 1)
-    edges = np.searchsorted(cell >> (8 + inner), np.arange(chunks + 1))
-    logs = np.zeros((1 << total, 256), dtype=np.float32)
-    for level in range(8):
-        width = 1 << level  # binary nodes of this level: the byte's first bits
-        prefix, bit = byte >> (8 - level), (byte >> (7 - level)) & 1
-        top_zeros = np.bincount(prefix, weights=count * (bit == 0), minlength=width)
-        top_ones = np.bincount(prefix, weights=count * (bit == 1), minlength=width)
-        top_estimate = (top_ones + 0.5) / (top_zeros + top_ones + 1)
-        product = np.zeros(width)
-        predicted = np.empty((chunks, 1 << inner, width), dtype=np.float32)
-        for chunk in range(chunks):
-            part = slice(edges[chunk], edges[chunk + 1])
-            block, predicted[chunk] = _subtree(below[part], prefix[part], bit[part], count[part], depths, width, top_estimate)
-            product += block
-        own = _log_block(top_zeros, top_ones)
-        share = 1 / (1 + np.exp(np.clip(product - own, -700, 700)))
-        share = np.where(top_zeros + top_ones > 0, share, 1.0)
-        rest = 256 >> (level + 1)
-        for chunk in range(chunks):
-            one = share * top_estimate + (1 - share) * predicted[chunk].astype(np.float64)
-            both = np.stack([np.log10(1 - one), np.log10(one)], axis=2).reshape(1 << inner, 2 * width)
-            logs[chunk << inner : (chunk + 1) << inner] += np.repeat(both, rest, axis=1).astype(np.float32)
-    return logs
-
-
-def _subtree(below, prefix, bit, count, depths, width, parent):
-    """Log block probability of the subtree's root nodes, and what the subtree predicts in each deepest context."""
-    inner = depths[-1]
-    zeros, ones = [], []
-    for depth in depths:
-        node = (below >> (inner - depth)) * width + prefix
-        zeros.append(np.bincount(node, weights=count * (bit == 0), minlength=width << depth))
-        ones.append(np.bincount(node, weights=count * (bit == 1), minlength=width << depth))
-    weighted = _log_block(zeros[-1], ones[-1])
-    shares: list = [None] * len(depths)
-    for d in range(len(depths) - 2, -1, -1):
-        children = weighted.reshape(1 << depths[d], -1, width).sum(axis=1).reshape(-1)
-        own = _log_block(zeros[d], ones[d])
-        top = np.maximum(own, children)
-        weighted = top + np.log(np.exp(own - top) + np.exp(children - top)) - math.log(2)
-        shares[d] = np.exp(own - weighted - math.log(2))
-
-    def spread(x: np.ndarray, depth: int, to: int) -> np.ndarray:
-        return np.repeat(x.reshape(1 << depth, 1, width), 1 << (to - depth), axis=1).reshape(-1)
-
-    estimate, up = [], parent
-    for d, depth in enumerate(depths):
-        n = zeros[d] + ones[d]
-        up = np.where(n > 0, (ones[d] + 0.5) / (n + 1), spread(up, depths[d - 1], depth) if d else up)
-        estimate.append(up)
-    predicted = estimate[-1]
-    for d in range(len(depths) - 2, -1, -1):
-        seen = zeros[d] + ones[d] > 0
-        share = spread(np.where(seen, shares[d], 0.0), depths[d], inner)
-        predicted = share * spread(estimate[d], depths[d], inner) + (1 - share) * predicted
-    return weighted, predicted.reshape(1 << inner, width)
-
-
-def _training_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word counts (token, c) and cell counts (cell, c) of the training texts, both written."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, split: int):
+        symbol, context = keys & 255, keys >> 8
+        shifts = np.arange(8)[:, None]
+        self.bit = (symbol >> (7 - shifts)) & 1
+        ids = ((context << 8) | (1 << shifts) | (symbol >> (8 - shifts))).ravel()
+        weight = np.broadcast_to(counts, self.bit.shape).ravel().astype(np.float64)
+        ids, self.node = np.unique(ids, return_inverse=True)
+        ones = np.bincount(self.node, weights=weight * self.bit.ravel(), minlength=len(ids))
+        zeros = np.bincount(self.node, weights=weight, minlength=len(ids)) - ones
+        own = log_block(zeros, ones)
+        self.levels = [(ids, zeros, ones, own, own)]
+        self.above = []
+        for _ in range(depth - split):
+            ids, up = np.unique((ids >> 16 << 8) | (ids & 255), return_inverse=True)
+            below = np.bincount(up, weights=self.levels[-1][4], minlength=len(ids))
+            zeros = np.bincount(up, weights=zeros, minlength=len(ids))
+            ones = np.bincount(up, weights=ones, minlength=len(ids))
+            own = log_block(zeros, ones)
+            self.levels.append((ids, zeros, ones, own, np.logaddexp(own, below) - math.log(2)))
+            self.above.append(up)
+
+    def log10(self, mixed: np.ndarray, rest: np.ndarray, estimate: np.ndarray) -> np.ndarray:
+        """log10 probability of every cell, from what comes down to the nodes of the top level: the part of the
+        prediction mixed so far, the weight that is left, and the estimate of the deepest node that training saw."""
+        for k in range(len(self.levels) - 1, -1, -1):
+            _, zeros, ones, own, weighted = self.levels[k]
+            seen = zeros + ones > 0
+            here = (ones + 0.5) / (zeros + ones + 1)
+            share = np.where(seen, np.exp(own - weighted - math.log(2)) if k else 1.0, 0.0)
+            mixed, rest, estimate = mixed + rest * share * here, rest * (1 - share), np.where(seen, here, estimate)
+            if k:
+                up = self.above[k - 1]
+                mixed, rest, estimate = mixed[up], rest[up], estimate[up]
+        one = (mixed + rest * estimate)[self.node].reshape(self.bit.shape)
+        return np.log10(np.where(self.bit == 1, one, 1 - one)).sum(axis=0)
+
+
+def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+
+
+def _groups(cells_table: DataFrame, depth: int, split: int) -> DataFrame:
+    """One row per context of ``split`` bytes: its cells and counts, and the nodes of the top of its subtree."""
+    low = 8 * (depth - split + 1)
+
+    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ids, zeros, ones, _, weighted = Subtrees(keys, counts, depth, split).levels[-1]
+        groups, edges = np.unique(keys >> low, return_index=True)
+        at, nodes = np.append(edges, len(keys)), np.append(np.searchsorted(ids >> 8, groups), len(ids))
+        columns = [pa.array(groups), _lists(keys, at), _lists(counts, at), _lists(ids & 255, nodes), _lists(zeros, nodes), _lists(ones, nodes), _lists(weighted, nodes)]
+        return pa.RecordBatch.from_arrays(columns, names=["context", "cells", "counts", "heap", "n0", "n1", "lw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        grams = np.zeros(256 << sum(BITS), dtype=np.uint32)  # of one task
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            words[END_TOKEN.encode()] += len(texts)
-            for t in texts:
+            keys, counts = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([counts, batch.column(1).to_numpy()])
+            cut = int(np.searchsorted(keys >> low, keys[-1] >> low)) if len(keys) >= STEP else 0  # whole groups
+            if cut:
+                yield rows(keys[:cut], counts[:cut])
+                keys, counts = keys[cut:], counts[cut:]
+        if len(keys):
+            yield rows(keys, counts)
+
+    dealt = cells_table.select("cell", "c").repartition(F.shiftright("cell", low)).sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "context long, cells array<long>, counts array<long>, heap array<long>, n0 array<double>, n1 array<double>, lw array<double>")
+
+
+def tree(cells_table: DataFrame, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
+    """cell, c and lp (log10 probability) of every row of ``cells_table`` (cell, c), which names each cell once."""
+    groups = written(_groups(cells_table, depth, split))
+    zipped = F.explode(F.arrays_zip("heap", "n0", "n1", "lw")).alias("x")
+    levels = [groups.select("context", zipped).select("context", "x.heap", "x.n0", "x.n1", "x.lw")]
+    half = F.lit(math.log(2))
+    for _ in range(split):
+        up = levels[0].groupBy(F.shiftright("context", 8).alias("context"), "heap").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below")).withColumn("own", _sql_log_block())
+        top = F.greatest("own", "below")
+        levels.insert(0, written(up.withColumn("lw", top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)) - half)))
+    state = None
+    for k in range(split):
+        here = levels[k].withColumn("up", F.shiftright("context", 8))
+        if state is None:
+            here = here.withColumns({"mixed": F.lit(0.0), "rest": F.lit(1.0), "estimate": F.lit(0.5)})
+        else:
+            here = here.join(state.withColumnRenamed("context", "up"), ["up", "heap"])
+        n = F.col("n0") + F.col("n1")
+        share = F.when(n > 0, F.exp(F.col("own") - F.col("lw") - half)).otherwise(0.0)
+        guess = (F.col("n1") + 0.5) / (n + 1)
+        state = here.select(
+            "context", "heap", (F.col("mixed") + F.col("rest") * share * guess).alias("mixed"), (F.col("rest") * (1 - share)).alias("rest"), F.when(n > 0, guess).otherwise(F.col("estimate")).alias("estimate")
+        )
+    nodes = levels[-1].select("context", "heap", F.shiftright("context", 8).alias("up"))
+    nodes = nodes.join(state.withColumnRenamed("context", "up"), ["up", "heap"]) if state is not None else nodes.withColumns({"mixed": F.lit(0.0), "rest": F.lit(1.0), "estimate": F.lit(0.5)})
+    sent = nodes.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("heap", "mixed", "rest", "estimate"))).alias("state"))  # 255 nodes at most
+    low = 8 * (depth - split + 1)
+
+    def rows(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        flat = lambda k: np.concatenate([p.column(k).flatten().to_numpy(zero_copy_only=False) for p in parts])
+        keys, counts = flat(0), flat(1)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        names = np.concatenate([np.repeat(p.column(2).to_numpy(), np.diff(p.column(3).offsets.to_numpy())) for p in parts])
+        state = [np.concatenate([p.column(3).flatten().field(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(4)]
+        place = np.argsort((names << 8) | state[0])
+        found = Subtrees(keys, counts, depth, split).log10(*(x[place] for x in state[1:]))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(found)], names=["cell", "c", "lp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in sliced(batches, "cells", 8 * STEP):
+            parts.append(batch)
+            size += len(batch.column(0).flatten())
+            if size >= STEP:
+                yield rows(parts)
+                parts, size = [], 0
+        if parts:
+            yield rows(parts)
+
+    return groups.select("context", "cells", "counts").join(sent, "context").select("cells", "counts", "context", "state").mapInArrow(run, "cell long, c long, lp double")
+
+
+def _counts(docs: DataFrame, depth: int) -> DataFrame:
+    """Training counts c of words (token) and of the cells of all texts (cell), written."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    def words_out(words: Counter) -> pa.RecordBatch:
+        n = len(words)
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64())], names=["token", "cell", "c"])
+
+    def cells_out(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(found[0]), 50_000):
+            keys, counts = (x[at : at + 50_000] for x in found)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["token", "cell", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in sliced(batches, "text"):
+            texts, apart = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            training = [t for t, x in zip(texts, apart) if not x]
+            words[END_TOKEN.encode()] += len(training)
+            for t in training:
                 if t:
                     words.update(t.encode().lower().split())
-            data, starts = joined_texts(texts)
-            ends = [*starts[1:], len(data)]
-            at = 0
-            while at < len(starts):  # whole texts, about CHUNK bytes at once
-                to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
-                grams += np.bincount(cells(data[starts[at] : ends[to - 1]]), minlength=len(grams)).astype(np.uint32)
-                at = to
-            if len(words) > 250_000:
-                yield _rows(words, None)
+            for some, weight in ((training, 1), ([t for t, x in zip(texts, apart) if x], 0)):
+                if some:
+                    keys, n = np.unique(cells(*joined_texts(some), depth), return_counts=True)
+                    held.append((keys, n * weight))
+            if sum(len(x[0]) for x in held[1:]) > HELD_CELLS:
+                held = [merged(held)]
+                if len(held[0][0]) > HELD_CELLS:
+                    yield from cells_out(held.pop())
+            if len(words) > HELD_WORDS:
+                yield words_out(words)
                 words.clear()
-        yield _rows(words, grams)
-
-    def _rows(words: Counter, grams: np.ndarray | None) -> pa.RecordBatch:
-        found = np.flatnonzero(grams) if grams is not None else np.empty(0, np.int64)
-        tokens = [w.decode() for w in words]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*tokens, *[None] * len(found)], pa.string()),
-                pa.array([*[None] * len(tokens), *found.tolist()], pa.int32()),
-                pa.array([*words.values(), *(grams[found].tolist() if grams is not None else [])], pa.int64()),
-            ],
-            names=["token", "cell", "c"],
-        )
+        yield words_out(words)
+        if held:
+            yield from cells_out(merged(held))
 
-    training = docs.filter(~held_out(F.col("doc_id"), PARTS, HELD)).select("text")
-    both = training.mapInArrow(run, "token string, cell int, c long").groupBy("token", "cell").agg(F.sum("c").alias("c"))
-    counted = written(both)
-    return counted.filter("token is not null").select("token", "c"), counted.filter("cell is not null").select("cell", "c")
+    marked = docs.select("text", held_out(F.col("doc_id"), PARTS, HELD).alias("apart"))
+    return written(marked.mapInArrow(run, "token string, cell long, c long").groupBy("token", "cell").agg(F.sum("c").alias("c")))
 
 
-def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes and bits_per_byte of every row."""
-    spark = docs.sparkSession
-    words, grams = _training_counts(docs)
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grams = grams.toArrow()  # at most 256 << sum(BITS) rows
-    logs = table(grams["cell"].to_numpy().astype(np.int64), grams["c"].to_numpy().astype(np.float64))
-    # The words of the highest counts, all with at least ``least``: no more than ``head``, whatever the corpus.
-    levels = words.groupBy(F.floor(F.log2("c")).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
-    least, many = 1, 0
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest counts, all with at least the same one: no more than ``most``, whatever the table holds."""
+    levels = table.filter("c > 0").groupBy(F.floor(F.log2("c") * 4).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()  # 250 at most
+    least, many = None, 0
     for level in levels:
         many += level["n"]
-        if many > head:
+        if many > most:
             break
-        least = 1 << level["level"]
-    top = words.filter(F.col("c") >= least).toArrow() if levels and levels[0]["n"] <= head else None
+        least = level["least"]
+    return table.filter(F.col("c") >= least) if least is not None else table.limit(0)
+
+
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each cell in a table of 2 ** bits."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64), ((mixed >> np.uint64(20)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def placed(keys: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and values by place; those that find both their places taken are left out, and go by the join instead."""
+    at_keys, at_values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+    for slot in _slots(keys, bits):
+        free = (at_keys[slot] == -1) & ~np.isin(keys, at_keys)
+        where, first = np.unique(slot[free], return_index=True)
+        rows = np.flatnonzero(free)[first]
+        at_keys[where], at_values[where] = keys[rows], values[rows]
+    return at_keys, at_values
+
+
+def score(docs: DataFrame, head: int = HEAD, cells_sent: int = CELLS, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row."""
+    spark = docs.sparkSession
+    counts = _counts(docs, depth)
+    words = counts.filter("token is not null").select("token", "c")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    v -= words.filter("c = 0").count()  # the end of no training text
+    table = written(tree(counts.filter("cell is not null").select("cell", "c"), depth, split))
+    top = most_frequent(words, head).toArrow()
     below = math.log10(n + v + 1)
-    frequent = {w.encode(): math.log10(c + 1) - below for w, c in zip(top["token"].to_pylist(), top["c"].to_pylist())} if top else {}
-    sent = spark.sparkContext.broadcast((logs.reshape(-1), frequent))
-    del logs, top
-    whole = v <= head
+    frequent = {w.encode(): math.log10(c + 1) - below for w, c in zip(top["token"].to_pylist(), top["c"].to_pylist())}
+    sent_cells = most_frequent(table, cells_sent).select("cell", "lp").toArrow()
+    bits = max(1, (2 * sent_cells.num_rows - 1).bit_length())
+    sent = spark.sparkContext.broadcast((*placed(sent_cells["cell"].to_numpy(), sent_cells["lp"].to_numpy(), bits), frequent))
+    del top, sent_cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, value = sent.value
+        at_keys, at_values, value = sent.value
         end = END_TOKEN.encode()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column(1).to_pylist()
             data, starts = joined_texts(texts)
-            ends = np.append(starts[1:], len(data))
-            model = np.empty(len(texts))
-            at = 0
-            while at < len(starts):
-                to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
-                piece = flat[cells(data[starts[at] : ends[to - 1]])].astype(np.float64)
-                model[at:to] = np.add.reduceat(piece, starts[at:to] - starts[at])
-                at = to
-            n_tokens, n_known, base, tails, tail_sizes = [], [], [], [], []
+            keys = cells(data, starts, depth)
+            first, second = _slots(keys, bits)
+            use = at_keys[first] == keys
+            found = np.where(use, at_values[first], np.float32(0)).astype(np.float64)
+            rest = np.flatnonzero(~use)
+            again = at_keys[second[rest]] == keys[rest]
+            found[rest[again]] = at_values[second[rest[again]]]
+            rest = rest[~again]
+            whose = np.searchsorted(starts, rest, side="right") - 1
+            order = np.lexsort((keys[rest], whose))
+            whose, missing = whose[order], keys[rest][order]
+            fresh = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (missing[1:] != missing[:-1])])) if len(rest) else np.empty(0, np.int64)
+            times = np.diff(np.append(fresh, len(rest)))
+            edges = np.searchsorted(whose[fresh], np.arange(len(texts) + 1)).astype(np.int32)
+            lost = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(missing[fresh]), pa.array(times.astype(np.int64))], names=["cell", "k"]))
+            n_tokens, n_known, base, tails = [], [], [], []
             for t in texts:
                 tokens = t.encode().lower().split() if t else []
                 tokens.append(end)
                 n_tokens.append(len(tokens))
-                found = [value.get(w) for w in tokens]
-                rest = [w for w, x in zip(tokens, found) if x is None]
-                n_known.append(len(tokens) - len(rest))
-                base.append(math.fsum(x for x in found if x is not None))
-                if whole:
-                    base[-1] -= len(rest) * below
-                    rest = []
-                tail = Counter(rest)
+                scores = [value.get(w) for w in tokens]
+                tail = Counter([w for w, x in zip(tokens, scores) if x is None])
+                n_known.append(len(tokens) - tail.total())
+                base.append(math.fsum(x for x in scores if x is not None))
                 tails.append([{"token": w.decode(), "k": k} for w, k in tail.items()])
+            sizes = np.diff(np.append(starts, len(data))) - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(ends - starts - 1, pa.int64()), pa.array(tails, pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "tail"],
-            )
+                [
+                    batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.add.reduceat(found, starts)), pa.array(sizes),
+                    pa.array(tails, pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))), lost,
+                ],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "words", "cells"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long, tail array<struct<token:string,k:long>>")
-    if not whole:
-        # Equal ids may stand for several rows, so the rare words are joined by row.
-        scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-        rare = scored.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.k")
-        rare = rare.join(words, "token", "left")
-        weighed = F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.log10(F.lit(float(n + v + 1))))
-        rare = rare.groupBy("row").agg(F.sum(weighed).alias("more_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"))
-        scored = scored.drop("tail").join(rare, "row", "left").drop("row")
-        scored = scored.withColumns({"base_score": F.col("base_score") + F.coalesce("more_base", F.lit(0.0)), "n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0))})
-    return scored.select(
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long, words array<struct<token:string,k:long>>, cells array<struct<cell:long,k:long>>")
+    # Equal ids may stand for several rows, so what is rare is joined by row.
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
+    rare = scored.select("row", F.explode("words").alias("t")).select("row", "t.token", "t.k").join(words, "token", "left")
+    exact = "decimal(38,18)"  # sums that do not depend on the order of rows
+    weighed = (F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(below))).cast(exact)
+    rare = rare.select("row", weighed.alias("base"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("known"), F.lit(0).cast(exact).alias("model"))
+    far = scored.select("row", F.explode("cells").alias("t")).select("row", "t.cell", "t.k").join(table.select("cell", "lp"), "cell")
+    far = far.select("row", F.lit(0).cast(exact).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("k") * F.col("lp")).cast(exact).alias("model"))
+    more = rare.unionByName(far).groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "known", "model")])
+    whole = scored.drop("words", "cells").join(more, "row", "left")
+    total = {c: F.col(c) + F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for c, m in (("base_score", "more_base"), ("score", "more_model"))}
+    whole = whole.withColumns(total | {"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0))})
+    return whole.select(
         "doc_id",
         held_out(F.col("doc_id"), PARTS, HELD).alias("held_out"),
         "n_tokens",

@@ -77,7 +77,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) ->
             continue
         is_list = pa.types.is_list(values.type)
         sizes = pc.fill_null(pc.list_value_length(values) if is_list else pc.binary_length(values), 0)
-        total = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) * (4 if is_list else 1))
+        total = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) * (values.type.value_type.bit_width // 8 if is_list else 1))
         at = 0
         while at < rows:
             before = total[at - 1] if at else 0

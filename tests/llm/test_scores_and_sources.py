@@ -1,6 +1,7 @@
 """Secrets, toxicity, HTML, mixing, media, language model, pipeline."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -173,37 +174,74 @@ def test_base_scores_and_held_out_gain(spark, monkeypatch):
     assert ctw.score(docs(spark, ODD).limit(0)).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_weighs_by_the_definition():
-    data, _ = ctw.joined_texts(["abracadabra " * 20, "banana"])
-    bits = (2, 1)
-    cell = ctw.cells(data, bits)
-    found, count = np.unique(cell, return_counts=True)
-    table = ctw.table(found.astype(np.int64), count.astype(float), bits)
-    assert np.allclose((10 ** table.astype(float)).sum(axis=1), 1, atol=1e-5)
+def direct_tree(training, queries, depth):
+    """Context-tree weighting by its definition: log10 of each query cell (context bytes nearest first, byte)."""
+    data, starts = ctw.joined_texts(training)
+    seen = collections.Counter()
+    ends = np.append(starts[1:], len(data))
+    for s, e in zip(starts, ends):
+        for at in range(s, e):
+            context = tuple(int(data[at - d]) if at - d >= s else ctw.END for d in range(1, depth + 1))
+            for level in range(8):
+                for d in range(depth + 1):
+                    seen[context[:d], level, int(data[at]) >> (8 - level), int(data[at]) >> (7 - level) & 1] += 1
+
+    def counts(context, level, prefix):
+        return seen[context, level, prefix, 0], seen[context, level, prefix, 1]
 
     def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-
-    # The first binary decision, by hand: a tree of one root, four nodes and eight leaves.
-    ctx, one = cell >> 8, (cell & 255) >> 7
-    n = lambda keep: (int((keep & (one == 0)).sum()), int((keep & (one == 1)).sum()))
-    node = lambda d, c: (ctx >> (3 - d)) == c
-    weighted = {c: kt(*n(node(3, c))) for c in range(8)}
-    mid, share = {}, {}
-    for c in range(4):
-        own, below = kt(*n(node(2, c))), weighted[2 * c] + weighted[2 * c + 1]
-        mid[c] = np.logaddexp(own, below) - math.log(2)
-        share[c] = math.exp(own - math.log(2) - mid[c])
-    own, below = kt(*n(node(0, 0))), sum(mid.values())
-    top = 1 / (1 + math.exp(below - own))
-    est = lambda z, o: (o + 0.5) / (z + o + 1)
-    root = est(*n(node(0, 0)))
-    for c in range(8):
-        up = est(*n(node(2, c >> 1))) if sum(n(node(2, c >> 1))) else root
-        deep = est(*n(node(3, c))) if sum(n(node(3, c))) else up
-        inner = share[c >> 1] * up + (1 - share[c >> 1]) * deep if sum(n(node(2, c >> 1))) else up
-        want = top * root + (1 - top) * inner
-        assert (10 ** table[c, 128:].astype(float)).sum() == pytest.approx(want, rel=1e-4)
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) if a + b else 0.0
+
+    @functools.cache
+    def block(context, level, prefix):
+        own = kt(*counts(context, level, prefix))
+        if not sum(counts(context, level, prefix)):
+            return 0.0
+        if len(context) == depth:
+            return own
+        return np.logaddexp(own, sum(block((*context, c), level, prefix) for c in range(256) if sum(counts((*context, c), level, prefix)))) - math.log(2)
+
+    def predict(context, level, prefix, d, up):
+        a, b = counts(context[:d], level, prefix)
+        if not a + b:
+            return up
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return own
+        share = math.exp(kt(a, b) - math.log(2) - block(context[:d], level, prefix))
+        return share * own + (1 - share) * predict(context, level, prefix, d + 1, own)
+
+    out = {}
+    for context, byte in queries:
+        p = [predict(context, level, byte >> (8 - level), 0, 0.5) for level in range(8)]
+        out[context, byte] = sum(math.log10(p[level] if byte >> (7 - level) & 1 else 1 - p[level]) for level in range(8))
+    return out
+
+
+@pytest.mark.parametrize("split", [0, 1, 2, 3])
+def test_context_tree_by_its_definition(spark, split, monkeypatch):
+    """A small tree, whole, against the direct recursion; cells of held-out texts are in the table too."""
+    monkeypatch.setattr(ctw, "STEP", 7)  # many steps in one task
+    depth, training, apart = 3, ["abracadabra abra", "banana", "", "a", "é🙂 banana"], ["bandana rama", "zzz"]
+    keys = [np.unique(ctw.cells(*ctw.joined_texts(t), depth), return_counts=True) for t in (training, apart)]
+    rows = collections.Counter(dict(zip(keys[0][0].tolist(), keys[0][1].tolist())))
+    rows.update({k: 0 for k in keys[1][0].tolist()})
+    table = {r.cell: r.lp for r in ctw.tree(spark.createDataFrame(list(rows.items()), "cell long, c long"), depth, split).collect()}
+    assert set(table) == set(rows)
+    named = {k: (tuple(k >> (8 * (depth + 1 - d)) & 255 for d in range(1, depth + 1)), k & 255) for k in rows}
+    want = direct_tree(training, named.values(), depth)
+    for k, name in named.items():
+        assert table[k] == pytest.approx(want[name], rel=1e-9)
+    context = named[keys[0][0][3]][0]
+    assert sum(10**x for x in direct_tree(training, [(context, b) for b in range(256)], depth).values()) == pytest.approx(1)
+
+
+def test_scores_do_not_depend_on_what_is_broadcast_or_on_neighbours(spark):
+    rows = [*ODD, *[(100 + k, prose(k, 40 + 400 * (k == 7)), "en", "a") for k in range(40)], (500, "x" * 100_000 + " end", "en", "a")]
+    frame = docs(spark, rows).withColumn("row", F.lit(1)).withColumn("cell", F.lit("clash"))
+    score = lambda d, *a: sorted((r.doc_id or -1, r.n_bytes, round(r.score, 3), round(r.base_score, 9)) for r in ctw.score(d, *a).collect())
+    whole = score(frame)
+    assert whole == score(frame.repartition(7), 20, 50) == score(frame.orderBy(F.desc("text")).coalesce(1), 0, 0)
 
 
 def scene(seed, n=160):
