@@ -1,4 +1,4 @@
-"""Connected components of a link table, and groups linked by verified candidates."""
+"""Connected components of a link table, groups linked by verified candidates, and joins of pairs with large values."""
 
 from __future__ import annotations
 
@@ -35,18 +35,37 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def with_both(pairs: DataFrame, values: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    """``pairs`` (a, b) with the values of both, as ``va`` and ``vb``, those of one b near each other.
+
+    A hub meets many nodes: its pairs are dealt into parts of about ``most``, and its value is repeated once per part.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts"))
+    dealt = pairs.join(values.select(F.col("node").alias("a"), F.col(column).alias("va")), "a")
+    dealt = dealt.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    second = values.withColumnRenamed("node", "b").join(parts, "b").select("b", F.col(column).alias("vb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(second, ["b", "part"]).select("a", "b", "va", "vb")
+
+
 def _paired(rows: DataFrame, near) -> DataFrame:
     """Distinct (a, b) with a > b of rows (x, y, nx, ny) that ``near`` allows."""
     return rows.filter((F.col("x") != F.col("y")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def _first_shared(bands: int):
+    """Whether ``key`` is the first of its ``bands`` keys that both nodes share: so that a pair comes out of one bucket only."""
+    first = F.coalesce(*[F.when(F.col("kx")[k] == F.col("ky")[k], F.col("kx")[k]) for k in range(bands)])
+    return F.col("key") == first
+
+
 def linked_groups(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], count: int, rounds: int, few: float, near=None
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], count: int, rounds: int, few: float, near=None, keys: DataFrame | None = None, bands: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """node and root of the nodes that candidate buckets and ``verify`` link, and the links themselves.
 
     ``members``: written rows (key, node, n) of buckets with two nodes or more; ``verify`` turns pairs (a, b) into
-    those of them that are links; ``near`` is a condition on (nx, ny) that every link meets.
+    those of them that are links; ``near`` is a condition on (nx, ny) that every link meets. ``keys`` (node, keys: the
+    ``bands`` keys of a node by band), where given, spares the last step the copies of a pair in several buckets.
 
     No bucket is expanded into pairs at first. Its nodes are held against one hub, links are merged, and only nodes
     that are not known to be in one component are held against the next hub. Once the pairs left across
@@ -73,9 +92,11 @@ def linked_groups(
         last = left <= few * count or turn == rounds
         placed = placed.join(across_of.select("key"), "key")
         if last:
-            x = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            y = placed.select(F.col("key").alias("ky"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            across = x.join(y, (F.col("key") == F.col("ky")) & (F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & near)
+            placed = written(placed.join(keys, "node") if keys is not None else placed.withColumn("keys", F.lit(None)))
+            x = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("keys").alias("kx"))
+            y = placed.select(F.col("key").alias("other"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("keys").alias("ky"))
+            apart = (F.col("key") == F.col("other")) & (F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & near
+            across = x.join(y, apart & _first_shared(bands) if keys is not None else apart)
         else:
             hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("h"))
             across = placed.join(hubs, "key").filter("root != h.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny"))

@@ -12,8 +12,9 @@ components are few, or after ``ROUNDS`` hubs, all that are left are verified, so
 Links are confirmed on the full sets: 100 * intersection >= 75 * union.
 
 Fewer than five words make one shingle; null and empty texts, and texts of white space, have no set and are
-alone. Each row goes by its own set; for links, sets whose smallest id is the same count as one document. A null id
-links with nothing.
+alone. An id that stands for several texts is one document that has all their links. A null id links with nothing.
+Equal rows are all kept or all dropped by their id; other columns, whatever their names, go through untouched. Texts
+are read in slices of bounded size, long ones whole.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import linked_groups
-from tallyforge.llm.shared import written
+from tallyforge.llm.components import components, linked_groups, with_both
+from tallyforge.llm.shared import sliced, written
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
@@ -105,13 +106,13 @@ def sketch(sign: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest, keys and sketch of every row; null from digest on for empty sets."""
+    """doc_id, th (hash of the text), n_shingles, digest, keys and sketch of every row; null from digest on for empty sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sizes, digests, keys, sketches = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py())
                 sign = signature(found, max(COORDINATES, bands * rows)) if len(found) else None
                 sizes.append(len(found))
@@ -119,11 +120,11 @@ def sets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 keys.append(band_keys(sign, bands, rows) if len(found) else None)
                 sketches.append(sketch(sign[:COORDINATES]) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "n_shingles", "digest", "keys", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
 def _near():
@@ -135,42 +136,54 @@ def _near():
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are alike enough. ``texts``: node, text."""
     kind = texts.schema["node"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = None, None  # pairs come sorted by b, so a hub's set is made once
-        for batch in batches:
-            kept = []
-            for k, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if tb != last_text:
-                    last_text, last = tb, shingles(tb)
-                mine = shingles(ta)
-                if 100 * min(len(mine), len(last)) < percent * max(len(mine), len(last)):
-                    continue
-                common = len(np.intersect1d(mine, last, assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(last) - common):
-                    kept.append(k)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
-
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+        for whole in batches:
+            for batch in sliced([whole], "va"):
+                kept = []
+                for k, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3))):
+                    tb = tb.as_py()
+                    if tb != last_text:
+                        last_text, last = tb, shingles(tb)
+                    mine = shingles(ta.as_py())
+                    if 100 * min(len(mine), len(last)) < percent * max(len(mine), len(last)):
+                        continue
+                    common = len(np.intersect1d(mine, last, assume_unique=True))
+                    if 100 * common >= percent * (len(mine) + len(last) - common):
+                        kept.append(k)
+                yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    return with_both(pairs, texts, "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     found = written(sets(docs, bands, rows))
-    classes = written(found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("s")))
+    of_set = found.filter("digest is not null and doc_id is not null").groupBy("digest")
+    classes = of_set.agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("s"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
     banded = classes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     met = banded.join(shared, "key").select("key", "node")
-    members = written(met.join(classes.groupBy("node").agg(F.max(F.struct("n", "s")).alias("n")), "node").select("key", "node", "n"))
-    nodes = members.select("node").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node"))
-    count = nodes.count()
-
-    roots, _ = linked_groups(members, lambda pairs: verified(pairs, texts), count, rounds, few, _near())
-    of_class = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    placed = found.join(of_class, "digest", "left")
-    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    members = written(met.join(classes.select("node", F.struct("n", "s").alias("n")), "node").select("key", "node", "n"))
+    nodes = members.select("node").distinct().join(classes.select("node", F.col("least.doc_id").alias("least_id"), F.col("least.th").alias("least_th")), "node")
+    whose = (F.col("doc_id") == F.col("least_id")) & (F.xxhash64("text") == F.col("least_th"))
+    texts = written(docs.select("doc_id", "text").join(nodes, whose).select("node", "text").dropDuplicates(["node"]))
+    count = texts.count()
+
+    roots, links = linked_groups(members, lambda pairs: verified(pairs, texts), count, rounds, few, _near(), classes.select("node", "keys"), bands)
+    # An id that stands for several sets links them.
+    ids = found.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high").select("doc_id")
+    several = found.filter("digest is not null").join(ids, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
+    bridges = written(several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node != b").select(F.col("node").alias("a"), "b"))
+    if not bridges.isEmpty():
+        roots = components(links.unionByName(bridges))
+    of_class = written(classes.select("digest", "node", F.col("least.doc_id").alias("least")).join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")))
+    smallest = of_class.groupBy("root").agg(F.min("least").alias("component"))
+    of_class = of_class.join(smallest, "root").select("digest", "component")
+    placed = found.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Memo sizes in entries; what a full memo forgets costs time only.
-SEGMENTS, PAIRS = 80_000, 250_000
+SEGMENTS, PAIRS = 400_000, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

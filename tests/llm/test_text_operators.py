@@ -111,6 +111,30 @@ def test_components_are_the_brute_force_ones(spark, few, rounds):
     assert found == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_that_stand_for_several_texts_lose_no_link(spark, seed):
+    """An id with two texts of unlike sizes, each with near copies; all rows of linked ids are one component."""
+    rng = random.Random(seed)
+    texts = [prose(40 + seed * 10 + k, n).split() for k, n in enumerate((60, 200, 120, 90))]
+    change = lambda t: " ".join([*t[:20], f"x{rng.randrange(10**6)}", *t[21:]])
+    rows = [(9, " ".join(texts[0]), "en", "a"), (9, " ".join(texts[1]), "en", "a"), (3, change(texts[0]), "en", "a"), (4, change(texts[1]), "en", "a")]
+    rows += [(1, change(texts[2]), "en", "a"), (20, change(texts[2]), "en", "a"), (20, " ".join(texts[3]), "en", "b"), (21, " ".join(texts[3]), "en", "b"), (30, prose(999, 50), "en", "a")]
+    rng.shuffle(rows)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {9: 3, 3: 3, 4: 3, 1: 1, 20: 1, 21: 1, 30: 30}
+
+
+def test_hubs_of_many_copies_and_clashing_columns(spark):
+    base = prose(3, 80).split()
+    rows = [(k, " ".join([*base[:k], f"y{k}", *base[k + 1 :]]), "en", "a") for k in range(80)]
+    frame = docs(spark, rows).selectExpr("*", "1 as node", "2 as a", "3 as b", "4 as text_hash", "5 as root")
+    assert [r.doc_id for r in minhash.keep_one(frame).collect()] == [0]
+    values = spark.createDataFrame([(k, f"v{k}") for k in range(50)], "node long, v string")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 50)] + [(7, 3)], "a long, b long")
+    both = {(r.a, r.b): (r.va, r.vb) for r in components.with_both(pairs, values, "v", most=4).collect()}
+    assert both == {(a, b): (f"v{a}", f"v{b}") for a, b in [(k, 0) for k in range(1, 50)] + [(7, 3)]}
+
+
 def test_minhash_edge_cases(spark):
     out = minhash.minhash_query(docs(spark, ODD)).collect()
     assert len(out) == len(ODD)
