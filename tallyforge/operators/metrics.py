@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.exact import rounded
+from tallyforge.operators.ranking import range_bounds, with_below
 
 
 def confusion_matrix(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -40,15 +41,11 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     """One row: the chance that a positive scores above a negative, ties counting half; null with one class only.
 
     Scores are counted per distinct value first. Running totals go over these values, dealt by range, so no task
-    gets all of them: each range's total is carried to the ranges above it.
+    gets all of them. Rows without a score do not count.
     """
-    values = scored.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
-    dealt = values.repartitionByRange("score").withColumn("part", F.spark_partition_id())
-    each = dealt.groupBy("part").agg(F.sum("neg").alias("part_neg"))
-    carried = each.withColumn("below", F.coalesce(F.sum("part_neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "below")
-    within = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = dealt.withColumn("lower", within).join(F.broadcast(carried), "part")
-    wins = F.sum((F.col("pos") * (2 * (F.col("lower") + F.col("below")) + F.col("neg"))).cast("decimal(38,0)"))
+    values = scored.filter("score is not null").groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") == 0).cast("long")).alias("neg"))
+    ranked = with_below(values, "score", ["neg"], range_bounds(values, "score"))
+    wins = F.sum(F.col("pos").cast("decimal(18,0)") * (2 * F.col("below_neg") + F.col("neg")).cast("decimal(19,0)"))
     sums = ranked.agg(wins.cast("double").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(rounded(F.try_divide(F.col("w"), 2.0 * F.col("p") * F.col("n")), 6).alias("roc_auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import features as X
@@ -100,3 +101,21 @@ def test_weeks_end_on_sunday(spark):
 def test_mask_drops_undated(spark):
     df = clean(spark, {}, {"purchase_date": None}, {"region": "AFRICA"})
     assert S.masked(df, "2024-01-15", "2024-01-15", ("ASIA",), ("PROMO",)).count() == 1
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_auc_of_many_distinct_scores(spark, coalesce):
+    """1.5 million distinct scores, against ranks worked out by numpy."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)
+    try:
+        rows = spark.range(1_500_000).select(F.rand(3).alias("score"), F.rand(4).alias("u")).select("score", (F.col("u") < F.col("score") * F.col("score")).cast("int").alias("label"))
+        frame = rows.toPandas()
+        found = E.roc_auc(rows).first()
+    finally:
+        spark.conf.set(name, before)
+    ranks = frame.score.rank()
+    p, n = int((frame.label == 1).sum()), int((frame.label == 0).sum())
+    want = (ranks[frame.label == 1].sum() - p * (p + 1) / 2) / (p * n)
+    assert abs(found.roc_auc - want) <= 1e-6 and (found.positives, found.negatives) == (p, n)
