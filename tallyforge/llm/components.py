@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,13 @@ def with_both(pairs: DataFrame, values: DataFrame, column: str, most: int = 1000
 
     A hub meets many nodes: its pairs are dealt into parts of about ``most``, and its value is repeated once per part.
     """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts"))
-    dealt = pairs.join(values.select(F.col("node").alias("a"), F.col(column).alias("va")), "a")
-    dealt = dealt.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    second = values.withColumnRenamed("node", "b").join(parts, "b").select("b", F.col(column).alias("vb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first, second = values.select(F.col("node").alias("a"), F.col(column).alias("va")), values.select(F.col("node").alias("b"), F.col(column).alias("vb"))
+    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")).filter("parts > 1")
+    if hot.isEmpty():
+        return pairs.join(first, "a").join(second, "b").select("a", "b", "va", "vb")
+    hot = written(hot)  # at most one row for each ``most`` pairs
+    dealt = pairs.join(first, "a").join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+    second = second.join(hot, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return dealt.join(second, ["b", "part"]).select("a", "b", "va", "vb")
 
 
@@ -52,20 +57,68 @@ def _paired(rows: DataFrame, near) -> DataFrame:
     return rows.filter((F.col("x") != F.col("y")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def _first_shared(bands: int):
-    """Whether ``key`` is the first of its ``bands`` keys that both nodes share: so that a pair comes out of one bucket only."""
-    first = F.coalesce(*[F.when(F.col("kx")[k] == F.col("ky")[k], F.col("kx")[k]) for k in range(bands)])
-    return F.col("key") == first
+def pairs_in_buckets(placed: DataFrame, alike: Callable, block: int = 512) -> DataFrame:
+    """Pairs (a, b) with a > b of nodes of different roots that share a bucket and are ``alike``, each pair once.
+
+    ``placed``: key, node, root, n, s and keys (a node's keys by band) of the nodes of each bucket. A bucket's nodes
+    are dealt into blocks of about ``block``, and every two blocks meet in a group of their own, so neither a task nor
+    a group grows with the bucket. ``alike`` (of sizes and sketches of both sides) gives a matrix.
+    """
+    parts = placed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    dealt = placed.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "node", "root", "n", "s", "keys")
+
+    def wide(column) -> np.ndarray:
+        flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy()
+        return flat.reshape(len(column), -1)
+
+    def compared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        first, second = (np.flatnonzero(group[c].to_numpy()) for c in ("first", "second"))
+        node, root, n, key = (group[c].to_numpy() for c in ("node", "root", "n", "key"))
+        s, keys = wide(group["s"]), wide(group["keys"])
+        good = alike(n[first], s[first], n[second], s[second]) & (root[first][:, None] != root[second][None, :])
+        x, y = np.nonzero(good)
+        x, y = first[x], second[y]
+        shared = keys[x] == keys[y]
+        lead = keys[x, shared.argmax(axis=1)] == key[x]  # this bucket is the first that they share
+        keep = lead & (node[x] > node[y]) if group["i"][0].as_py() == group["j"][0].as_py() else lead
+        x, y = x[keep], y[keep]
+        return np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+
+    def whole_groups(held: pa.Table, end: bool) -> tuple[list, pa.Table]:
+        """The pairs of the groups of ``held``, and the rows of the last group, which may go on."""
+        key, i, j = (held[c].to_numpy() for c in ("key", "i", "j"))
+        edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        edges = [0, *edges.tolist(), len(key)]
+        last = len(edges) - (1 if end else 2)
+        found = [compared(held.slice(edges[g], edges[g + 1] - edges[g])) for g in range(last) if edges[g + 1] - edges[g] > 1]
+        return found, held.slice(edges[last])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                now = pa.Table.from_batches([batch.slice(at, 4096)])
+                found, held = whole_groups(now if held is None else pa.concat_tables([held, now]), False)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+        if held is not None and held.num_rows:
+            found, _ = whole_groups(held, True)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def linked_groups(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], count: int, rounds: int, few: float, near=None, keys: DataFrame | None = None, bands: int = 0
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], count: int, rounds: int, few: float, near, keys: DataFrame, alike: Callable
 ) -> tuple[DataFrame, DataFrame]:
     """node and root of the nodes that candidate buckets and ``verify`` link, and the links themselves.
 
     ``members``: written rows (key, node, n) of buckets with two nodes or more; ``verify`` turns pairs (a, b) into
-    those of them that are links; ``near`` is a condition on (nx, ny) that every link meets. ``keys`` (node, keys: the
-    ``bands`` keys of a node by band), where given, spares the last step the copies of a pair in several buckets.
+    those of them that are links; ``near`` is a condition on (nx, ny) that every link meets, and ``alike`` the same of
+    many pairs at once, as in ``pairs_in_buckets``; ``keys``: node and keys, a node's keys by band.
 
     No bucket is expanded into pairs at first. Its nodes are held against one hub, links are merged, and only nodes
     that are not known to be in one component are held against the next hub. Once the pairs left across
@@ -92,18 +145,47 @@ def linked_groups(
         last = left <= few * count or turn == rounds
         placed = placed.join(across_of.select("key"), "key")
         if last:
-            placed = written(placed.join(keys, "node") if keys is not None else placed.withColumn("keys", F.lit(None)))
-            x = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("keys").alias("kx"))
-            y = placed.select(F.col("key").alias("other"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("keys").alias("ky"))
-            apart = (F.col("key") == F.col("other")) & (F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & near
-            across = x.join(y, apart & _first_shared(bands) if keys is not None else apart)
+            placed = placed.join(keys, "node").select("key", "node", "root", F.col("n.n").alias("n"), F.col("n.s").alias("s"), "keys")
+            across = pairs_in_buckets(written(placed), alike)
         else:
             hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("h"))
             across = placed.join(hubs, "key").filter("root != h.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("h.node").alias("y"), F.col("h.n").alias("ny"))
-        pairs = written(_paired(across, near).join(checked, ["a", "b"], "left_anti"))
+        pairs = written((across if last else _paired(across, near)).join(checked, ["a", "b"], "left_anti"))
         more = written(verify(pairs))
         checked, links = checked.unionByName(pairs), links.unionByName(more)
         if last:
             return components(links), links
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return (roots if settled else components(links)), links
+
+
+def linked_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """node and root of the nodes that shared buckets and ``verify`` link.
+
+    ``members``: written rows (key, node, hub) of the buckets with two nodes or more; hub is a bucket's least node. In
+    each round a node is held against one hub only, so a round's pairs are no more than the nodes. Then the buckets
+    whose nodes are all of one component go, and the next round takes the least hub of the rest by a fresh order. All
+    pairs across components that are left after ``rounds`` rounds are verified: no candidate link is lost.
+    """
+    checked = written(members.filter("node != hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")))
+    links = written(verify(checked))
+    left = members.select("key", "node")
+    for turn in range(1, rounds + 1):
+        roots = components(links)
+        placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+        placed = written(placed.join(mixed, "key").select("key", "node", "root"))
+        if placed.isEmpty():
+            return roots
+        if turn == rounds:
+            break
+        order = F.xxhash64(F.lit(turn), "node")
+        hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("key", "h.*")
+        pairs = placed.join(hubs, "key").filter("root != hub_root").select("o", F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), "node")
+        pairs = pairs.join(checked, ["a", "b"], "left_anti").groupBy("node").agg(F.min(F.struct("o", "a", "b")).alias("p"))
+        pairs = written(pairs.select("p.a", "p.b").distinct())
+        checked, links, left = checked.unionByName(pairs), links.unionByName(written(verify(pairs))), placed.select("key", "node")
+    x = placed.select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
+    y = placed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
+    pairs = x.join(y, "key").filter("x > y and rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return components(links.unionByName(written(verify(written(pairs.join(checked, ["a", "b"], "left_anti"))))))
