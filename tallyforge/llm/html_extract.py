@@ -4,22 +4,31 @@ A page's tokens are its elements, each told by its path from the root with the c
 the words of its text, each told by the path of the block element it stands in and by how often that block held the
 word before. Over the pages of a host every token has an occurrence vector: how often it stands on each page.
 Tokens with the same vector form an equivalence class. A class is valid if it stands on at least ``SUPPORT`` of the
-host's pages; its words are template if they stand once on each page, or as often as the element around them.
-A block whose words are all template and of one class is template text and left out; a block with any other word
-is a slot and kept whole, so that a label stays with its value. All slots are extracted.
-
-Vectors are compared by fingerprint, the exclusive or of a hash of page and count, so that a host's pages are never
-gathered. Words are counted in two passes: what stands on ``SUPPORT`` of a host's pages stands on as many of its
-pages in some batch, so only what does is counted over all pages. Hosts of fewer than ``LEAST_PAGES`` different
-pages have no template.
-
-Names are hints for slots: the text of menus, headers, footers, asides, notices, adverts, forms, comment sections,
-scripts and styles is left out by element name, role, class or id, and a page with article or main elements gives
-the slots within them only. Character references are decoded, white space within a block becomes one space, blocks
-are joined in page order by one space.
-
-Null and empty pages have an empty text; a null url is a host of its own, as is one without a host; unclosed and
-crossed tags are repaired as browsers do in outline. Repeated rows cancel out of a vector alike for all its tokens.
+host's pages and its words under one path come in the same order on all of them; its words nest in the class of the element around them,
+or stand once on each page. Valid classes make the host's template. A block whose words are all of one class of it is
+template text and left out: menus, headers, footers, notices and labels, whatever they are called. A block with any other
+word is a slot and kept whole, so that a label stays with its value.
+
+Elements that stand once on each page nest into the template's tree, and the slots hang in it. Where each slot's text lies is
+added up over the host: the main slots are those within the deepest container that holds ``MASS`` of all words outside
+links, so menus, adverts, headers and footers that differ on every page go with the rest of the tree, whatever they are called;
+a container that is mostly links is a menu within it too. All other slots there are extracted.
+
+Vectors are compared by fingerprint, the exclusive or of a hash of page and count, and orders by the hash of a page's
+words of a class, so that a host's pages are never gathered. Words are counted in two passes: what stands on
+``SUPPORT`` of a host's pages stands on as many of its pages in some batch, so only what does is counted over all pages.
+
+Names settle what a template cannot tell. Scripts, styles, forms and the like are no text; within the main slots,
+adverts, asides, reader comments and links to other pages are left out by element name, role, class or id
+(``SLOT_WORDS``). Hosts of fewer than ``LEAST_PAGES`` different pages have no template, and some pages lack the main slots
+of their host; there, and only there, menus, headers and footers go by name too, and a page with article or main
+elements gives the text within them.
+
+Character references are decoded, white space (as Unicode has it) within a block becomes one space, blocks are joined
+in page order by one space. Null and empty pages have an empty text; a null url is a host of its own, as is one
+without a host; unclosed and crossed tags are repaired as browsers do in outline, however deep they nest. Repeated rows
+count as pages but cancel out of a vector alike for all its tokens; classes with equal vectors are one. Other columns,
+whatever their names, are ignored. Pages are read in slices of bounded size, long ones whole.
 """
 
 from __future__ import annotations
@@ -34,26 +43,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import BROADCAST_ROWS, join_small, written
+from tallyforge.llm.shared import BROADCAST_BYTES, BROADCAST_ROWS, join_small, sliced, written
 
 SUPPORT = 0.5
 #: Fewest different pages of a host that tell template from text.
 LEAST_PAGES = 4
+#: Share of a host's words outside links that the main slots hold, and of a menu's words that are links.
+MASS, LINKS = 0.6, 2 / 3
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE = frozenset("head nav header footer aside form script style noscript template iframe button select option textarea menu dialog svg math object video audio canvas title noembed noframes".split())
+UNSEEN = frozenset("head form script style noscript template iframe button select option textarea dialog svg math object video audio canvas title noembed noframes".split())
+CHROME = frozenset("nav header footer menu".split())
+SLOT_NAMES = frozenset(["aside"])
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset("article main".split())
 MAIN_ROLES = frozenset("main article".split())
-SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
+CHROME_ROLES = frozenset("navigation banner contentinfo search menu menubar".split())
+SLOT_ROLES = frozenset("complementary form dialog alertdialog".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-SKIP_WORDS = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|signup|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|footer|masthead|topbar|toolbar|comment|comments|disqus|replies|reply|respond|related|recommended|share|sharing|social|widget|pagination|pager|login|search)(?:$|[-_\s\d])",
+# Words of classes and ids: of slots that are no article, and of what the pages of a host share.
+SLOT_WORDS = re.compile(
+    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|sponsor|sponsored|promo|promotion|popup|modal|breadcrumb|breadcrumbs|sidebar|aside|"
+    r"comment|comments|disqus|replies|reply|respond|related|recommended|widget|pagination|pager)(?:$|[-_\s\d])",
+    re.I,
+)
+CHROME_WORDS = re.compile(
+    r"(?:^|[-_\s])(?:banner|cookie|cookies|consent|gdpr|notice|notices|newsletter|subscribe|signup|nav|navbar|navigation|menu|footer|masthead|topbar|toolbar|share|sharing|social|login|search)(?:$|[-_\s\d])",
     re.I,
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -65,38 +84,65 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
 
 
-def _skipped(name: str, attributes: dict[str, str]) -> bool:
-    if name in BOILERPLATE:
-        return True
+#: What names say of an element: text that counts, what host pages share, slots that are no article, and no text.
+TEXT, SHARED, ASIDE, NONE = 0, 1, 2, 3
+
+
+def _told(name: str, attributes: dict[str, str]) -> int:
+    if name in UNSEEN:
+        return NONE
+    told = ASIDE if name in SLOT_NAMES else SHARED if name in CHROME else TEXT
     if not attributes:
-        return False
-    if attributes.get("role", "").lower() in SKIP_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return told
+    role = attributes.get("role", "").lower()
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return NONE
+    if role in SLOT_ROLES:
+        return ASIDE
+    if role in CHROME_ROLES:
+        told = max(told, SHARED)
     if name in ("body", "html") or name in MAIN:
-        return False
-    return bool(SKIP_WORDS.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+        return told
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    return ASIDE if SLOT_WORDS.search(names) else max(told, SHARED) if CHROME_WORDS.search(names) else told
 
 
-def walk(html: str) -> Iterator[tuple[str, object]]:
-    """("open", path), ("close", path), ("break", None) and ("text", (block, text, skipped, in_main)) in page order.
+def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str] = frozenset()) -> Iterator[tuple[str, object]]:
+    """("open", path), ("break", None), ("text", (block, text, told, in_main)) in page order, and ("region", (path, words,
+    links, depth)) for each container that ends and at last for the page, with the words in all of it.
 
-    A block is the number and path of the block element around a text; the page itself is number 0.
+    ``region``: the path of the main slots, else main is told by names; ``menus``: paths of asides.
+
+    A path is the hash of the path above and the element's own name, so that it stays short. A block is the number
+    and path of the block element around a text; the page itself is number 0.
     """
-    stack: list[tuple[str, str, bool, bool, tuple[int, str]]] = []  # name, path, skipped, in main, block
-    outside = ("", "", False, False, (0, ""))
+    stack: list[tuple[str, str, int, bool, tuple[int, str]]] = []  # name, path, told by names, in main, block
+    outside = ("", "", TEXT, False, (0, ""))
+    held = [[0, 0]]  # words and links so far, of the page and of each open element
+    opened: Counter = Counter()
     at, size, blocks = 0, len(html), 0
 
     def close(upto: int) -> Iterator[tuple[str, object]]:
         while len(stack) > upto:
             name, path, *_ = stack.pop()
+            opened[name] -= 1
+            words, links = held.pop()
+            held[-1][0] += words
+            held[-1][1] += links
+            if name in CONTAINERS:
+                yield "region", (path, words, links, len(held))
             if name not in INLINE:
                 yield "break", None
-            yield "close", path
 
     def text(raw: str) -> Iterator[tuple[str, object]]:
         if raw:
-            _, _, skipped, main, block = stack[-1] if stack else outside
-            yield "text", (block, unescape(raw), skipped, main)
+            _, _, told, main, block = stack[-1] if stack else outside
+            plain = unescape(raw)
+            if told < ASIDE:
+                n = len(plain.split())
+                held[-1][0] += n
+                held[-1][1] += n if opened["a"] else 0
+            yield "text", (block, plain, told, main)
 
     while at < size:
         found = TOKEN.search(html, at)
@@ -109,8 +155,9 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
         if not name:
             continue
         if found[1]:
-            if name in ("p", "br") and not any(s[0] == name for s in stack):
-                yield "break", None
+            if not opened[name]:
+                if name in ("p", "br"):
+                    yield "break", None
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -121,14 +168,14 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
             yield "break", None
         if name in VOID:
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     yield from close(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if name in SIBLINGS:
+        if name in SIBLINGS and any(opened[x] for x in SIBLINGS[name]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in SCOPES.get(name, ()) or name == "p":
                     break
@@ -140,17 +187,19 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
         if name in CONTAINERS and (attributes.get("class") or attributes.get("id")):
             own += "." + re.sub(r"\d+", "0", " ".join(f"{attributes.get('class', '')}#{attributes.get('id', '')}".split()))
         above = stack[-1] if stack else outside
-        main = above[3] or name in MAIN or attributes.get("role", "").lower() in MAIN_ROLES or attributes.get("itemprop", "") == "articleBody"
-        # A header within an article may hold its heading; elsewhere it is the page's own.
-        skipped = above[2] or _skipped(name, attributes)
-        path = f"{above[1]}/{own}" if len(stack) < 64 else above[1]
+        path = xxhash.xxh3_64_hexdigest(f"{above[1]}/{own}")
+        by_name = name in MAIN or attributes.get("role", "").lower() in MAIN_ROLES or attributes.get("itemprop", "") == "articleBody"
+        main = above[3] or (by_name if region is None else path == region)
+        told = max(above[2], ASIDE if path in menus else _told(name, attributes))
         if found[3].endswith("/") and name not in INLINE and name in ("svg", "path"):
             continue
         block = above[4]
         if name not in INLINE:
             blocks += 1
             block = (blocks, path)
-        stack.append((name, path, skipped, main, block))
+        stack.append((name, path, told, main, block))
+        held.append([0, 0])
+        opened[name] += 1
         yield "open", path
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -160,6 +209,7 @@ def walk(html: str) -> Iterator[tuple[str, object]]:
             at = end.end() if end else size
             yield from close(len(stack) - 1)
     yield from close(0)
+    yield "region", ("", *held[0], 0)
 
 
 def _tokens(blocks: dict[tuple[int, str], list[str]]) -> Iterator[tuple[tuple[int, str], list[str]]]:
@@ -169,17 +219,23 @@ def _tokens(blocks: dict[tuple[int, str], list[str]]) -> Iterator[tuple[tuple[in
         yield block, [f"{block[1]}\t{w}" if j == 0 else f"{block[1]}\t{w}\t{j}" for w, n in words.items() for j in range(n)]
 
 
-def outline(html: str | None) -> dict[str, Counter]:
-    """How often each token stands on a page, by path: "" for the element, and the words of its unskipped text."""
-    found: dict[str, Counter] = {}
+def outline(html: str | None) -> tuple[dict[str, Counter], dict[str, list[int]]]:
+    """How often each token stands on a page, by path: "" for the element, and the words of what may be text; and the
+    words, links and depth of each container, and of the page as the path "", which counts as an element too."""
+    found: dict[str, Counter] = {"": Counter({"": 1})}
+    regions: dict[str, list[int]] = {}
     blocks: dict[tuple[int, str], list[str]] = {}
     broken = False
     for kind, value in walk(html or ""):
         if kind == "open":
             found.setdefault(value, Counter())[""] += 1
+        elif kind == "region":
+            held = regions.setdefault(value[0], [0, 0, value[3]])
+            held[0] += value[1]
+            held[1] += value[2]
         elif kind == "break":
             broken = True
-        elif kind == "text" and not value[2]:
+        elif kind == "text" and value[2] < ASIDE:
             blocks.setdefault(value[0], []).append(f" {value[1]}" if broken else value[1])
             broken = False
     for (_, path), parts in blocks.items():
@@ -187,30 +243,46 @@ def outline(html: str | None) -> dict[str, Counter]:
         at = found.setdefault(path, Counter())
         at.update(words.keys())
         at.update(f"{w}\t{j}" for w, n in words.items() if n > 1 for j in range(1, n))
-    return found
+    return found, regions
+
 
+class Template:
+    """Of a host: the class of each template word, the path of the main slots, and those of menus."""
 
-def extract(html: str | None, template: dict[str, int] | None) -> str:
-    """Main text of a page. ``template``: the class of each template word of the host."""
-    template = template or {}
+    def __init__(self, words: dict[str, int], region: str = "", menus: set[str] | frozenset[str] = frozenset()):
+        self.words, self.region, self.menus = words, region, menus
+
+
+def _texts(html: str | None, most: int, template: Template | None = None) -> tuple[list[tuple | None], dict[tuple[int, str], list[str]]]:
+    """The pieces of text in page order, None where a block ends, and those of each block; what is told to be above
+    ``most`` is left out."""
     pieces: list[tuple | None] = []
     blocks: dict[tuple[int, str], list[str]] = {}
     broken = False
-    for kind, value in walk(html or ""):
+    for kind, value in walk(html or "", template.region or None, template.menus) if template else walk(html or ""):
         if kind == "break":
             broken = True
             pieces.append(None)
-        elif kind == "text" and not value[2]:
+        elif kind == "text" and value[2] <= most:
             blocks.setdefault(value[0], []).append(f" {value[1]}" if broken else value[1])
             broken = False
             pieces.append(value)
+    return pieces, blocks
+
+
+def extract(html: str | None, template: Template | None) -> str:
+    """Main text of a page, by its host's template or, without one or where its main slots are missing, by names."""
+    pieces, blocks = _texts(html, SHARED if template else TEXT, template)
+    inside = any(p is not None and p[3] and p[1].strip() for p in pieces)
+    if template and template.region and not inside:
+        return extract(html, None)
     fixed = set()
     if template:
         for block, tokens in _tokens(blocks):
-            classes = {template.get(t) for t in tokens}
+            classes = {template.words.get(t) for t in tokens}
             if len(classes) == 1 and None not in classes:
                 fixed.add(block)
-    has_main = any(p is not None and p[3] and p[1].strip() for p in pieces)
+    only_main = inside and (template is None or template.region != "")
     out: list[str] = []
     current: list[str] = []
     for piece in [*pieces, None]:
@@ -219,88 +291,143 @@ def extract(html: str | None, template: dict[str, int] | None) -> str:
             if text:
                 out.append(text)
             current.clear()
-        elif piece[0] not in fixed and (piece[3] or not has_main):
+        elif piece[0] not in fixed and (piece[3] or not only_main):
             current.append(piece[1])
     return " ".join(out)
 
 
+def orders(html: str | None, words: dict[str, int]) -> dict[tuple[str, int], int]:
+    """For each path and class of template words on a page, the hash of its words in page order."""
+    found: dict[tuple[str, int], list[str]] = {}
+    for (_, path), tokens in _tokens(_texts(html, SHARED)[1]):
+        for t in tokens:
+            if t in words:
+                found.setdefault((path, words[t]), []).append(t)
+    return {k: xxhash.xxh3_64_intdigest("\n".join(v).encode()) - (1 << 63) for k, v in found.items()}
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, tokens and classes (arrays of equal length) of the template words of the hosts of ``pages`` (host, html), written."""
+    """host, tokens and classes (arrays of equal length) of the template words of the hosts of ``pages`` (host, html)
+    that have enough different pages, region (path of the main slots) and menus (paths), written."""
     each = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.count("*").alias("n"))
     sizes = written(each.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("different")).filter(F.col("different") >= least_pages).select("host", "n"))
     able = join_small(pages.select("host", "html"), sizes, ["host"], "inner").select("host", "html")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "html"):
             seen: Counter = Counter()
             found: dict[tuple[str, str], Counter] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[name] += 1
-                for path, tokens in outline(html).items():
+                for path, tokens in outline(html)[0].items():
                     found.setdefault((name, path), Counter()).update(tokens.keys())
             rows = [(name, f"{path}\t{t}") for (name, path), tokens in found.items() for t, n in tokens.items() if n >= support * seen[name]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", "token"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "html"):
             found: dict[tuple, list] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = xxhash.xxh3_64_intdigest((html or "").encode())
                 prints: dict[int, int] = {}
-                for path, tokens in outline(html).items():
+                tokens_at, regions = outline(html)
+                for path, tokens in tokens_at.items():
                     for t in tokens if wanted is None else tokens.keys() & wanted.get((name, path), nothing):
                         n = tokens[t]
                         if n not in prints:
                             prints[n] = xxhash.xxh3_64_intdigest(f"{page}:{n}".encode())
-                        row = found.setdefault((name, f"{path}\t{t}"), [0, 0, 0])
+                        row = found.setdefault((name, f"{path}\t{t}"), [0, 0, 0, 0, 0, 0])
                         row[0] += 1
                         row[1] += n == 1
                         row[2] ^= prints[n]
+                        if not t and path in regions:
+                            row[3] += regions[path][0]
+                            row[4] += regions[path][1]
+                            row[5] = regions[path][2] + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string())]
-                + [pa.array([v[j] for v in found.values()], pa.int64()) for j in (0, 1)]
+                + [pa.array([v[j] for v in found.values()], pa.int64()) for j in (0, 1, 3, 4, 5)]
                 + [pa.array([v[2] - (1 << 64) if v[2] >> 63 else v[2] for v in found.values()], pa.int64())],
-                names=["host", "token", "pages", "once", "vector"],
+                names=["host", "token", "pages", "once", "words", "links", "depth", "vector"],
             )
 
     candidates = written(able.mapInArrow(frequent, "host string, token string").distinct())
     wanted: dict[tuple[str, str], set[str]] | None = None
     nothing: set[str] = set()
-    if candidates.count() <= BROADCAST_ROWS:
+    rows, size = candidates.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("token")), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         wanted = {}
         for name, token in candidates.toLocalIterator():
             path, _, t = token.partition("\t")
             wanted.setdefault((name, path), set()).add(t)
-    tokens = able.mapInArrow(counted, "host string, token string, pages long, once long, vector long")
+    tokens = able.mapInArrow(counted, "host string, token string, pages long, once long, words long, links long, depth long, vector long")
     if wanted is None:
         tokens = tokens.join(candidates, ["host", "token"], "left_semi")
-    tokens = tokens.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"))
+    tokens = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "words", "links")], F.max("depth").alias("depth"), F.bit_xor("vector").alias("vector"))
     tokens = written(tokens.withColumn("path", F.substring_index("token", "\t", 1)).withColumn("is_word", F.length("token") > F.length("path") + 1))
     valid = join_small(tokens, sizes, ["host"], "inner").filter(F.col("pages") >= support * F.col("n")).drop("n")
+    # The template's tree: containers that stand once on each page, with the text that they hold on all of them.
+    places = valid.filter("not is_word and once = pages and depth > 0")
+    whole = places.filter("depth = 1").select("host", (F.col("words") - F.col("links")).alias("mass"))
+    places = written(join_small(places, written(whole), ["host"], "inner").select("host", "path", "words", "links", "depth", "mass"))
+    main = places.filter(F.col("words") - F.col("links") >= F.lit(MASS) * F.col("mass")).groupBy("host").agg(F.max(F.struct("depth", "path")).alias("m"))
+    menu = places.filter((F.col("links") >= F.lit(LINKS) * F.col("words")) & (F.col("links") > 0) & (F.col("depth") > 1)).groupBy("host").agg(F.collect_list("path").alias("menus"))
+    tree = written(sizes.select("host").join(main, "host", "left").join(menu, "host", "left").select("host", F.coalesce("m.path", F.lit("")).alias("region"), F.coalesce("menus", F.array().cast("array<string>")).alias("menus")))
     # Words nest in the class of the element around them, or stand once on each page of their own class.
     around = valid.filter("not is_word").select("host", "path", F.col("vector").alias("element"))
     words = valid.filter("is_word").join(around, ["host", "path"], "left").filter((F.col("once") == F.col("pages")) | F.col("vector").eqNullSafe(F.col("element")))
-    of_host = words.groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("t"))
-    return written(of_host.select("host", F.col("t.token").alias("tokens"), F.col("t.vector").alias("classes")))
+    found = written(_by_host(tree, words.select("host", "token", "vector")))
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "html"):
+            names = batch.column(0).to_pylist()
+            known = _known(names, *batch.columns[2:])
+            least: dict[tuple[str, str, int], list[int]] = {}
+            for name, html in zip(names, batch.column(1).to_pylist()):
+                for (path, k), h in orders(html, known[name].words).items():
+                    both = least.setdefault((name, path, k), [h, h])
+                    both[:] = min(both[0], h), max(both[1], h)
+            columns = [pa.array([x[j] for x in least], kind) for j, kind in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))]
+            columns += [pa.array([x[j] for x in least.values()], pa.int64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "vector", "low", "high"])
+
+    seen = join_small(able, found, ["host"], "inner").select("host", "html", "tokens", "classes", "region", "menus").mapInArrow(in_order, "host string, path string, vector long, low long, high long")
+    same = ["host", "path", "vector"]
+    ordered = seen.groupBy(*same).agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low = high").select(*same)
+    return written(_by_host(tree, words.select("token", *same).join(ordered, same, "left_semi").drop("path")))
+
+
+def _by_host(tree: DataFrame, words: DataFrame) -> DataFrame:
+    """One row per host of ``tree``, with its template words and their classes."""
+    of_host = words.groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("t"))  # what half of its pages share
+    none = F.array().cast("array<struct<token:string,vector:bigint>>")
+    joined = tree.join(of_host, "host", "left").withColumn("t", F.coalesce("t", none))
+    return joined.select("host", F.col("t.token").alias("tokens"), F.col("t.vector").alias("classes"), "region", "menus")
+
+
+def _known(names: list[str], tokens: pa.Array, classes: pa.Array, regions: pa.Array, menus: pa.Array) -> dict[str, Template | None]:
+    """The template of each host of a batch; None for hosts without one."""
+    known: dict[str, Template | None] = {}
+    for k, name in enumerate(names):
+        if name not in known:
+            known[name] = Template(dict(zip(tokens[k].as_py(), classes[k].as_py())), regions[k].as_py(), set(menus[k].as_py())) if tokens[k].is_valid else None
+    return known
 
 
 def extracted(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """page_id, url and text of every row of ``pages``."""
     hosted = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = join_small(hosted, templates(hosted, support), ["host"], "left").select("page_id", "url", "host", "html", "tokens", "classes")
+    joined = join_small(hosted, templates(hosted, support), ["host"], "left").select("page_id", "url", "host", "html", "tokens", "classes", "region", "menus")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str, dict[str, int]] = {}
-            texts = []
-            for k, (name, html) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if name not in known:
-                    known[name] = dict(zip(batch.column(4)[k].as_py() or [], batch.column(5)[k].as_py() or []))
-                texts.append(extract(html, known[name]))
+        for batch in sliced(batches, "html"):
+            names = batch.column(2).to_pylist()
+            known = _known(names, *batch.columns[4:])
+            texts = [extract(html, known[name]) for name, html in zip(names, batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, return.
 WORD_SPACE = " \t\n\x0b\x0c\r"
-BROADCAST_ROWS = 50_000
+#: What may be broadcast: rows, and bytes of the written files or of the strings.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 #: Bytes of one column that a Python worker turns into objects at once.
 SLICE = 2 << 20
 
@@ -46,13 +47,13 @@ def written(df: DataFrame) -> DataFrame:
 def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 32) -> DataFrame:
     """Null-safe equi-join with a table that is usually small.
 
-    ``right`` must be written already, so counting it is cheap. Up to BROADCAST_ROWS rows it is broadcast;
-    beyond, its rows are repeated once for each salt and hot keys of ``left`` are dealt over the salts.
+    ``right`` must be written already, so counting it is cheap. Up to BROADCAST_ROWS rows and BROADCAST_BYTES it is
+    broadcast; beyond, its rows are repeated once for each salt and hot keys of ``left`` are dealt over the salts.
     """
     names = {k: f"_right_{k}" for k in keys}
     other = right.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= BROADCAST_ROWS and int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
         return left.join(F.broadcast(other), same, how).drop(*names.values())
     salted = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
     other = other.withColumn("_salts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -143,6 +143,58 @@ PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><script>var a="</p>";</
 <div id="comments"><p>Nice post {k}</div><aside>More</aside><form><input><button>Go</button></form><footer>&copy; site</footer></body></html>"""
 
 
+def random_page(rng, k):
+    """A page whose menu, banner and footer differ on every page and have no telling names; labels are shared."""
+    links = "".join(f"<li><a href='/{j}'>{prose(rng.randrange(10**6), 2)}</a>" for j in range(rng.randrange(3, 7)))
+    body = "".join(f"<p>{prose(rng.randrange(10**6), rng.randrange(20, 60))}" for _ in range(rng.randrange(1, 5)))
+    return f"<body><div class=a{k % 7}><ul>{links}</ul></div><div class=b>{prose(k, 4)}</div><section><h2>Title {k} {prose(k, 3)}</h2><div class=m>Written by the staff</div>{body}</section><div class=z>Copyright {prose(k + 5, 5)}</div>"
+
+
+def test_template_against_brute_force_classes(spark):
+    """Classes, order, tree and main slots of one host, deduced over all its pages at once."""
+    import random
+
+    rng = random.Random(4)
+    pages = [random_page(rng, k) for k in range(9)] + ["<body><section><h2>odd one</h2><p>other page</section>"]
+    rows = [(k, "http://one.example/", html) for k, html in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("one.example"))
+    row = html_extract.templates(frame.select("host", "html")).first()
+    vectors = {}
+    for k, html in enumerate(pages):
+        for path, tokens in html_extract.outline(html)[0].items():
+            for t, n in tokens.items():
+                vectors.setdefault((path, t), {})[k] = n
+    elements = {path: v for (path, t), v in vectors.items() if not t}
+    valid = {x: v for x, v in vectors.items() if x[1] and len(v) >= 0.5 * len(pages) and (set(v.values()) == {1} or v == elements[x[0]])}
+    want = {frozenset(f"{p}\t{t}" for (p, t), v in valid.items() if v == one) for one in valid.values()}
+    found = {}
+    for token, c in zip(row.tokens, row.classes):
+        found.setdefault(c, set()).add(token)
+    assert {frozenset(v) for v in found.values()} == want and any("staff" in t for c in want for t in c)
+    out = {r.page_id: r.text for r in html_extract.html_query(frame).collect()}
+    for k, html in enumerate(pages[:9]):
+        section = re.search("<section>(.*)</section>", html)[1].replace("<div class=m>Written by the staff</div>", " ")
+        assert out[k] == " ".join(re.sub("<[^>]*>", " ", section).split())
+        withheld = html_extract.extract(html, html_extract.Template({}))
+        assert withheld != out[k] and "staff" in withheld and "Copyright" in withheld
+    assert out[9] == "odd one other page"
+
+
+def test_words_in_another_order_are_no_template(spark):
+    rows = [(k, "http://h.example/", f"<body><section><div class=x>{'red green' if k % 2 else 'green red'}</div><div class=y>same label</div><p>{prose(k, 30)}</section>") for k in range(8)]
+    out = {r.page_id: r.text for r in html_extract.html_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"{'red green' if k % 2 else 'green red'} {prose(k, 30)}" for k in range(8)}
+
+
+def test_hostile_markup_repeats_and_clashing_columns(spark):
+    deep = "<div>" * 3000 + "deep words" + "</p>" * 3000 + "</div>" * 10
+    rows = [(1, "u", deep), (1, "u", deep), (2, "u", "<" * 5000), (3, "u", "<p " + "a=" * 3000), (4, "u", "</div></b></li>text<li><li><table><tr><td>cell"), (5, "u", "x" * 300_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as host", "1 as tokens", "2 as text", "3 as region")
+    out = html_extract.html_query(frame).collect()
+    found = {r.page_id: r.text for r in out}
+    assert len(out) == 6 and found[1] == "deep words" and found[4] == "text cell" and found[5] == "x" * 300_000
+
+
 @pytest.mark.parametrize("wrap", ["content", "x1"])
 def test_main_slot_without_article_element(spark, wrap):
     rows = [(k, f"http://h{k % 2}.example/{k}", PAGE.replace("{k}", str(k)).replace("{wrap}", wrap).replace("{body}", prose(k, 30))) for k in range(12)]
@@ -279,6 +331,62 @@ def test_cropped_and_edited_copies_are_found(spark):
     assert media.copies(spark.createDataFrame([], "id long, image binary")).count() == 0
 
 
+def union_of(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("rounds", [1, 6])
+def test_groups_of_vectors_against_all_pairs(spark, rounds):
+    """Rendered vectors in groups of noisy copies: groups and pair recall against verifying all pairs."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for group in range(12):
+        centre = rng.normal(size=64)
+        rows += [(len(rows) + k, (centre + rng.normal(size=64) * 0.07).tolist()) for k in range(2 + 3 * (group % 4))]
+    rows += [(len(rows) + k, rng.normal(size=64).tolist()) for k in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("image", F.lit("clash")).withColumn("key", F.lit(1))
+    found = {r.id: r.group_id for r in media.copies(media.rendered(frame.withColumnRenamed("vec_id", "id")), rounds).collect()}
+    images = {r.id: media.describe(media.decode(bytes(r.image))) for r in media.rendered(frame.withColumnRenamed("vec_id", "id")).collect()}
+    linked = [(a, b) for a in images for b in images if a < b and media.agreement(images[a], images[b]) >= media.INLIERS]
+    keys = {k: set(media.table_keys(v[1]).tolist()) for k, v in images.items()}
+    met = [(a, b) for a, b in linked if keys[a] & keys[b]]
+    assert len(linked) > 100 and len(met) >= 0.9 * len(linked)
+    assert found == union_of(met, images)
+
+
+def test_images_that_tie_repeat_or_are_small(spark):
+    x = scene(3)
+    rows = [(5, pgm(x)), (5, pgm(x)), (5, pgm(scene(4))), (2, pgm(x[30:140, 20:150])), (9, pgm(scene(4))), (7, pgm(x[:5, :5])), (8, pgm(x[60:90, 60:90])), (6, pgm(scene(9, 700)))]
+    out = media.copies(spark.createDataFrame(rows, "id long, image binary").withColumn("node", F.lit(0))).collect()
+    assert len(out) == len(rows) and sorted(r.group_id for r in out if r.id in (5, 2)) == [2, 2, 2, 5]
+    found = {r.id: r for r in out}
+    assert found[9].class_id == 5 and found[7].n_corners == 0 and found[6].n_corners > 500
+
+
+def test_entries_that_end_with_a_batch(spark):
+    """Runs of equal keys over the borders of batches: as many rows as entries with two nodes or more have."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        x = media.describe(scene(1).astype(np.float32))[1][:4].tobytes()
+        y = media.describe(scene(2).astype(np.float32))[1][:1].tobytes()
+        classes = spark.createDataFrame([(k, bytearray(x if k < 7 else y)) for k in range(8)], "node long, bits binary")
+        rows = media._shared_entries(classes).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = media.table_keys(np.frombuffer(x, np.uint8).reshape(-1, 32)).tolist()
+    assert sorted((r.key, r.node, r.hub) for r in rows) == [(k, n, 0) for k in sorted(keys) for n in range(7)]
+
+
 def test_vectors_of_any_kind_are_rendered(spark):
     rows = [(1, [0.1] * 64), (2, None), (3, []), (4, [float(k % 7) for k in range(70)]), (5, [None, 1.0])]
     out = {r.vec_id: r for r in media.media_query(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
