@@ -12,9 +12,10 @@ under one context of ``SPLIT`` bytes form a group: its subtree is worked out in
 aggregations, and what they give comes back to each group. A node that training never saw predicts as its parent
 does. The result is a table of the log probability of every cell that any text holds.
 
-The base score is an add-one unigram score over words. Both tables grow without bound, so only their most frequent
-rows, at most ``HEAD`` words and ``CELLS`` cells, are broadcast; the other words and cells of each document are joined
-with the tables, and nothing is dropped.
+The base score is an add-one unigram score over words, which are told by 64-bit hashes (any two of a hundred million
+words collide with a chance of 1 in 3,700). Both tables grow without bound, so only their most frequent rows, at most
+``HEAD`` words and ``CELLS`` cells, are broadcast; the other words and cells of each document are joined with the
+tables, and nothing is dropped.
 
 Null and empty texts hold the end token and END alone. Repeated rows count as often as they occur, ties do not matter,
 and other columns, whatever their names, are ignored. Texts are read in slices of bounded size, long ones whole.
@@ -23,11 +24,11 @@ and other columns, whatever their names, are ignored. Texts are read in slices o
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,11 @@ PARTS, HELD = 7, 2
 #: Preceding bytes of the longest context (at most 6), and of the contexts whose subtrees are worked out in memory.
 DEPTH, SPLIT = 5, 3
 END = 0xFF
-END_TOKEN = "\n"  # no word holds white space
+END_TOKEN = b"\n"  # no word holds white space
 #: Words and cells that are broadcast at most.
-HEAD, CELLS = 100_000, 1 << 20
-#: Distinct cells that a counting task holds, cells of a subtree's step, and words it holds, before they go out.
-HELD_CELLS, STEP, HELD_WORDS = 1_500_000, 60_000, 150_000
+HEAD, CELLS = 1 << 19, 1 << 20
+#: Distinct cells or words that a counting task holds before they go out, and cells of one step over subtrees.
+HELD_KEYS, STEP = 1_500_000, 60_000
 
 
 def joined_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +52,18 @@ def joined_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes([END]).join(raw) + bytes([END]), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of the texts, lower-cased, each text followed by the end token, and where it begins."""
+    tokens: list[bytes] = []
+    starts = np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        starts[k] = len(tokens)
+        if t:
+            tokens += t.encode().lower().split()
+        tokens.append(END_TOKEN)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64), starts
+
+
 def cells(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """The cell of every position: the preceding bytes, nearest first, then the byte itself, as one integer."""
     out = data.astype(np.int64)
@@ -230,52 +243,44 @@ def tree(cells_table: DataFrame, depth: int = DEPTH, split: int = SPLIT) -> Data
 
 
 def _counts(docs: DataFrame, depth: int) -> DataFrame:
-    """Training counts c of words (token) and of the cells of all texts (cell), written."""
+    """Training counts c of words (word: true, key) and of the cells of all texts (word: false, key), written."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         return counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
-    def words_out(words: Counter) -> pa.RecordBatch:
-        n = len(words)
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64())], names=["token", "cell", "c"])
-
-    def cells_out(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def out(word: bool, found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(found[0]), 50_000):
             keys, counts = (x[at : at + 50_000] for x in found)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["token", "cell", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), word)), pa.array(keys), pa.array(counts)], names=["word", "key", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[bool, list] = {True: [], False: []}
         for batch in sliced(batches, "text"):
             texts, apart = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             training = [t for t, x in zip(texts, apart) if not x]
-            words[END_TOKEN.encode()] += len(training)
-            for t in training:
-                if t:
-                    words.update(t.encode().lower().split())
+            if training:
+                held[True].append(np.unique(word_hashes(training)[0], return_counts=True))
             for some, weight in ((training, 1), ([t for t, x in zip(texts, apart) if x], 0)):
                 if some:
                     keys, n = np.unique(cells(*joined_texts(some), depth), return_counts=True)
-                    held.append((keys, n * weight))
-            if sum(len(x[0]) for x in held[1:]) > HELD_CELLS:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD_CELLS:
-                    yield from cells_out(held.pop())
-            if len(words) > HELD_WORDS:
-                yield words_out(words)
-                words.clear()
-        yield words_out(words)
-        if held:
-            yield from cells_out(merged(held))
+                    held[False].append((keys, n * weight))
+            for word, parts in held.items():
+                if sum(len(x[0]) for x in parts[1:]) > HELD_KEYS:
+                    parts[:] = [merged(parts)]
+                    if len(parts[0][0]) > HELD_KEYS:
+                        yield from out(word, parts.pop())
+        for word, parts in held.items():
+            if parts:
+                yield from out(word, merged(parts))
 
     marked = docs.select("text", held_out(F.col("doc_id"), PARTS, HELD).alias("apart"))
-    return written(marked.mapInArrow(run, "token string, cell long, c long").groupBy("token", "cell").agg(F.sum("c").alias("c")))
+    return written(marked.mapInArrow(run, "word boolean, key long, c long").groupBy("word", "key").agg(F.sum("c").alias("c")))
 
 
 def most_frequent(table: DataFrame, most: int) -> DataFrame:
     """The rows of the highest counts, all with at least the same one: no more than ``most``, whatever the table holds."""
-    levels = table.filter("c > 0").groupBy(F.floor(F.log2("c") * 4).alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()  # 250 at most
+    level = F.when(F.col("c") < 1024, F.col("c")).otherwise(1000 + F.floor(F.log2("c") * 4))
+    levels = table.filter("c > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("least")).collect()  # 1,300 at most
     least, many = None, 0
     for level in levels:
         many += level["n"]
@@ -285,93 +290,94 @@ def most_frequent(table: DataFrame, most: int) -> DataFrame:
     return table.filter(F.col("c") >= least) if least is not None else table.limit(0)
 
 
-def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of each cell in a table of 2 ** bits."""
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64), ((mixed >> np.uint64(20)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+#: Odd multipliers that give a key its places in a table.
+PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def _slot(keys: np.ndarray, bits: int, place: np.uint64) -> np.ndarray:
+    return ((keys.view(np.uint64) * place) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def placed(keys: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and values by place; those that find both their places taken are left out, and go by the join instead."""
-    at_keys, at_values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-    for slot in _slots(keys, bits):
-        free = (at_keys[slot] == -1) & ~np.isin(keys, at_keys)
+def placed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values and whether there is one, by place; earlier keys are placed first. The few that find all their
+    places taken are left out, and go by the join instead."""
+    bits = max(1, (2 * len(keys) - 1).bit_length())
+    at_keys, at_values, used = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, values.dtype), np.zeros(1 << bits, bool)
+    left = np.arange(len(keys))
+    for place in PLACES:
+        slot = _slot(keys[left], bits, place)
+        free = np.flatnonzero(~used[slot])
         where, first = np.unique(slot[free], return_index=True)
-        rows = np.flatnonzero(free)[first]
-        at_keys[where], at_values[where] = keys[rows], values[rows]
-    return at_keys, at_values
+        rows = left[free[first]]
+        at_keys[where], at_values[where], used[where] = keys[rows], values[rows], True
+        left = np.delete(left, free[first])
+    return at_keys, at_values, used
+
+
+def looked_up(keys: np.ndarray, starts: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text (from ``starts``): the sum of the values that the table has, how many keys it has not, and which."""
+    at_keys, at_values, used = table
+    found, rest = np.zeros(len(keys)), None
+    for place in PLACES:
+        asked = keys if rest is None else keys[rest]
+        slot = _slot(asked, len(used).bit_length() - 1, place)
+        hit = (at_keys[slot] == asked) & used[slot]
+        if rest is None:
+            found, rest = np.where(hit, at_values[slot], 0).astype(np.float64), np.flatnonzero(~hit)
+        else:
+            found[rest[hit]] = at_values[slot[hit]]
+            rest = rest[~hit]
+    whose = np.searchsorted(starts, rest, side="right") - 1
+    order = np.lexsort((keys[rest], whose))
+    whose, missing = whose[order], keys[rest][order]
+    fresh = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (missing[1:] != missing[:-1])])) if len(rest) else np.empty(0, np.int64)
+    times = np.diff(np.append(fresh, len(rest))).astype(np.int64)
+    edges = np.searchsorted(whose[fresh], np.arange(len(starts) + 1)).astype(np.int32)
+    lost = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(missing[fresh]), pa.array(times)], names=["key", "k"]))
+    return np.add.reduceat(found, starts), np.bincount(whose, minlength=len(starts)), lost
 
 
 def score(docs: DataFrame, head: int = HEAD, cells_sent: int = CELLS, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row."""
     spark = docs.sparkSession
     counts = _counts(docs, depth)
-    words = counts.filter("token is not null").select("token", "c")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    v -= words.filter("c = 0").count()  # the end of no training text
-    table = written(tree(counts.filter("cell is not null").select("cell", "c"), depth, split))
-    top = most_frequent(words, head).toArrow()
+    n, v = counts.filter("word").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = math.log10(n + v + 1)
-    frequent = {w.encode(): math.log10(c + 1) - below for w, c in zip(top["token"].to_pylist(), top["c"].to_pylist())}
-    sent_cells = most_frequent(table, cells_sent).select("cell", "lp").toArrow()
-    bits = max(1, (2 * sent_cells.num_rows - 1).bit_length())
-    sent = spark.sparkContext.broadcast((*placed(sent_cells["cell"].to_numpy(), sent_cells["lp"].to_numpy(), bits), frequent))
-    del top, sent_cells
+    words = counts.filter("word").select("key", "c", (F.log10(F.col("c") + F.lit(1.0)) - F.lit(below)).alias("lp"))
+    table = written(tree(counts.filter("not word").select(F.col("key").alias("cell"), "c"), depth, split)).withColumnRenamed("cell", "key")
+
+    def sent(values: DataFrame, most: int, kind: type) -> tuple:
+        rows = most_frequent(values, most).select("key", "lp", "c").toArrow()
+        order = np.argsort(-rows["c"].to_numpy(), kind="stable")
+        return placed(rows["key"].to_numpy()[order], rows["lp"].to_numpy()[order].astype(kind))
+
+    tables = spark.sparkContext.broadcast((sent(words, head, np.float64), sent(table, cells_sent, np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_keys, at_values, value = sent.value
-        end = END_TOKEN.encode()
+        of_words, of_cells = tables.value
         for batch in sliced(batches, "text"):
             texts = batch.column(1).to_pylist()
+            tokens, at = word_hashes(texts)
+            base, unknown, rare = looked_up(tokens, at, of_words)
+            n_tokens = np.diff(np.append(at, len(tokens)))
             data, starts = joined_texts(texts)
-            keys = cells(data, starts, depth)
-            first, second = _slots(keys, bits)
-            use = at_keys[first] == keys
-            found = np.where(use, at_values[first], np.float32(0)).astype(np.float64)
-            rest = np.flatnonzero(~use)
-            again = at_keys[second[rest]] == keys[rest]
-            found[rest[again]] = at_values[second[rest[again]]]
-            rest = rest[~again]
-            whose = np.searchsorted(starts, rest, side="right") - 1
-            order = np.lexsort((keys[rest], whose))
-            whose, missing = whose[order], keys[rest][order]
-            fresh = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (missing[1:] != missing[:-1])])) if len(rest) else np.empty(0, np.int64)
-            times = np.diff(np.append(fresh, len(rest)))
-            edges = np.searchsorted(whose[fresh], np.arange(len(texts) + 1)).astype(np.int32)
-            lost = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(missing[fresh]), pa.array(times.astype(np.int64))], names=["cell", "k"]))
-            n_tokens, n_known, base, tails = [], [], [], []
-            for t in texts:
-                tokens = t.encode().lower().split() if t else []
-                tokens.append(end)
-                n_tokens.append(len(tokens))
-                scores = [value.get(w) for w in tokens]
-                tail = Counter([w for w, x in zip(tokens, scores) if x is None])
-                n_known.append(len(tokens) - tail.total())
-                base.append(math.fsum(x for x in scores if x is not None))
-                tails.append([{"token": w.decode(), "k": k} for w, k in tail.items()])
-            sizes = np.diff(np.append(starts, len(data))) - 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.add.reduceat(found, starts)), pa.array(sizes),
-                    pa.array(tails, pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))), lost,
-                ],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "words", "cells"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long, words array<struct<token:string,k:long>>, cells array<struct<cell:long,k:long>>")
+            model, _, far = looked_up(cells(data, starts, depth), starts, of_cells)
+            columns = [batch.column(0), pa.array(n_tokens), pa.array(n_tokens - unknown), pa.array(base), pa.array(model), pa.array(np.diff(np.append(starts, len(data))) - 1), rare, far]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "words", "cells"])
+
+    kind, lists = docs.schema["doc_id"].dataType.simpleString(), "array<struct<key:long,k:long>>"
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long, words {lists}, cells {lists}")
     # Equal ids may stand for several rows, so what is rare is joined by row.
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("words").alias("t")).select("row", "t.token", "t.k").join(words, "token", "left")
-    exact = "decimal(38,18)"  # sums that do not depend on the order of rows
-    weighed = (F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(below))).cast(exact)
-    rare = rare.select("row", weighed.alias("base"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("known"), F.lit(0).cast(exact).alias("model"))
-    far = scored.select("row", F.explode("cells").alias("t")).select("row", "t.cell", "t.k").join(table.select("cell", "lp"), "cell")
-    far = far.select("row", F.lit(0).cast(exact).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("k") * F.col("lp")).cast(exact).alias("model"))
-    more = rare.unionByName(far).groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "known", "model")])
+    asked = [scored.select("row", F.lit(word).alias("word"), F.explode(c).alias("t")).select("row", "word", "t.key", "t.k") for word, c in ((True, "words"), (False, "cells"))]
+    known = words.withColumn("word", F.lit(True)).unionByName(table.withColumn("word", F.lit(False)))
+    more = asked[0].unionByName(asked[1]).join(known, ["word", "key"], "left")
+    exact = (F.col("k") * F.coalesce("lp", F.lit(-below))).cast("decimal(38,18)")  # sums that do not depend on the order of rows
+    more = more.groupBy("row").agg(F.sum(F.when(F.col("word"), exact)).alias("more_base"), F.sum(F.when(F.col("word") & F.col("c").isNotNull(), F.col("k"))).alias("more_known"), F.sum(F.when(~F.col("word"), exact)).alias("more_model"))
     whole = scored.drop("words", "cells").join(more, "row", "left")
-    total = {c: F.col(c) + F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for c, m in (("base_score", "more_base"), ("score", "more_model"))}
-    whole = whole.withColumns(total | {"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0))})
+    plus = lambda c, m, zero: (F.col(c) + F.coalesce(F.col(m), F.lit(zero))).alias(c)
+    whole = whole.withColumns({m: F.col(m).cast("double") for m in ("more_base", "more_model")})
+    whole = whole.select("doc_id", "n_tokens", "n_bytes", plus("base_score", "more_base", 0.0), plus("n_known", "more_known", 0), plus("score", "more_model", 0.0))
     return whole.select(
         "doc_id",
         held_out(F.col("doc_id"), PARTS, HELD).alias("held_out"),
