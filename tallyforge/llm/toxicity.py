@@ -1,18 +1,21 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are labelled documents outside the held-out part; where there are more than ``EXAMPLES``, about that many
-are taken by a hash of their id. That bound is the only sample: it keeps fitting, index and broadcast of fixed size.
-Terms are runs of letters, lower-cased, and their beginnings of four to seven letters; the index holds the ``TERMS``
-terms that tell the labels apart best by chi-square over the distinct texts of the examples, weighted by inverse
-document frequency over the whole corpus.
+Examples are the distinct texts of labelled documents outside the held-out part; where there are more than ``EXAMPLES``,
+about that many are taken by a hash of the id, and again of the text. That bound is the only sample: it keeps fitting,
+index and broadcast of fixed size. Terms are runs of letters, lower-cased, and their beginnings of three to seven letters.
+All terms of the examples count, weighted by inverse document frequency over the whole corpus and by relevance: how
+much their log odds among toxic examples exceed those among the others, less one standard error; at or below zero
+a term weighs nothing.
 
 The index is inverted: per term, postings in blocks of ``BLOCK`` examples with the block's greatest weight. A query
 bounds each block by its weights times these maxima, visits blocks from the greatest bound down and stops when no
-block can beat its k-th neighbour, so the neighbours are exact. Votes weighted by similarity give a share, which a
-table made by leaving each example out turns into a score.
+block can beat its k-th neighbour, so the neighbours are exact; of equal ones the earlier entry is nearer, and examples with equal
+vectors are one entry that counts as often. The vote is the sum of the toxic neighbours' similarities over k, so far
+neighbours and missing ones count for nothing. A table made by leaving each example out turns votes into scores.
 
-A document without any indexed term gets the training share of such documents. Null and empty texts are such
-documents. Labels of null are ignored; of several labels for an id the highest counts. Repeated rows score alike.
+A document without any weighing term gets the training share of such documents. Null and empty texts are such
+documents. Labels of null are ignored; of several labels for an id or a text the highest counts. Repeated rows score alike.
+Other columns, whatever their names, are ignored. Texts are read in slices of bounded size, long ones whole.
 """
 
 from __future__ import annotations
@@ -27,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import held_out, written
+from tallyforge.llm.shared import held_out, sliced, written
 
 PARTS, HELD = 3, 1
-TERMS, EXAMPLES = 512, 20_000
-NEIGHBOURS, BLOCK, BINS = 15, 64, 10
-#: Least texts, least share of the toxic texts, and least chi-square of an indexed term; at least half of its
-#: texts are toxic.
-LEAST_DOCS, LEAST_SHARE, LEAST_CHI = 5, 0.015, 30.0
+EXAMPLES = 20_000
+NEIGHBOURS, BLOCK, BINS = 25, 64, 50
 CUT = 0.7
-PREFIXES, MEMO = (4, 5, 6, 7), 300_000
+#: Votes below this are alike.
+LEAST_VOTE = 1e-3
+PREFIXES, MEMO = (3, 4, 5, 6, 7), 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,120 +48,125 @@ def features(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts the indexed features of a text; words met before need one look-up."""
+    """Numbers and weights of the terms: vectors of texts; words met before need one look-up."""
 
-    def __init__(self, only):
-        self.only, self.known = only, {}
+    def __init__(self, terms: list[str], weights: np.ndarray):
+        self.number, self.weights = dict(zip(terms, range(len(terms)))), weights
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> Counter:
-        out: Counter = Counter()
+    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of a text that weigh something, and how often each comes."""
+        found: list[int] = []
         if text:
-            known = self.known
+            known, number = self.known, self.number
             for word in WORD.findall(text.lower()):
                 held = known.get(word)
                 if held is None:
                     if len(known) >= MEMO:
                         known.clear()
-                    held = known[word] = tuple(f for f in features(word) if f in self.only)
+                    held = known[word] = tuple(number[f] for f in features(word) if f in number)
                 if held:
-                    out.update(held)
-        return out
+                    found += held
+        return np.unique(np.array(found, dtype=np.int64), return_counts=True)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of a text: terms and weights."""
+        terms, counts = self.numbers(text)
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        size = math.sqrt(math.fsum(raw * raw))
+        return (terms, raw / size) if size else (terms[:0], raw[:0])
 
 
 class Index:
-    """Block-max inverted index over example vectors (dicts of term number to weight, of unit length)."""
+    """Block-max inverted index over example vectors (terms and weights, of unit length)."""
 
-    def __init__(self, vectors: list[dict[int, float]], toxic: list[int], ids: list, k: int = NEIGHBOURS, block: int = BLOCK):
-        # Equal vectors become one entry with counts; alike entries stand together, which sharpens the bounds.
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list, k: int = NEIGHBOURS, block: int = BLOCK):
+        # Equal vectors become one entry with counts; entries with the same strongest terms stand together, which
+        # sharpens the bounds.
         entries: dict[tuple, list] = {}
-        for vector, label, i in zip(vectors, toxic, ids):
-            entry = entries.setdefault(tuple(sorted(vector.items())), [0, 0, i])
+        self.entry_of = []
+        for (terms, weights), label, i in zip(vectors, toxic, ids):
+            strongest = tuple(terms[np.lexsort((terms, -weights))][:4].tolist())
+            entry = entries.setdefault((strongest, terms.tobytes(), weights.tobytes()), [0, 0, i, terms, weights])
             entry[0] += 1
             entry[1] += label
             entry[2] = min(entry[2], i)
-        order = sorted(entries)
-        self.k, self.block = k, block
-        self.total = np.array([entries[e][0] for e in order], dtype=np.int64)
-        self.toxic = np.array([entries[e][1] for e in order], dtype=np.int64)
-        self.ids = [entries[e][2] for e in order]
-        self.blocks = -(-len(order) // block)
-        postings: dict[int, list[tuple[int, float]]] = {}
+            self.entry_of.append(entry)
+        order = [entries[e] for e in sorted(entries)]
         for at, entry in enumerate(order):
-            for term, weight in entry:
-                postings.setdefault(term, []).append((at, weight))
-        self.postings, self.bounds = {}, {}
-        for term, found in postings.items():
-            where = np.array([at for at, _ in found], dtype=np.int64)
-            weight = np.array([w for _, w in found])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, where // block, weight)
-            starts = np.searchsorted(where, np.arange(self.blocks + 1) * block)
-            self.postings[term], self.bounds[term] = (where, weight, starts), most
-
-    def nearest(self, query: dict[int, float], without: tuple[int, int] | None = None) -> list[tuple[float, int, int]]:
-        """(similarity, entry, examples counted) from the nearest down, k examples in all; ties go to the lower entry.
-
-        ``without``: an entry of which one example (with that label) is left out.
-        """
-        own = [(t, w) for t, w in query.items() if t in self.postings]
-        if not own:
-            return []
-        bound = sum(w * self.bounds[t] for t, w in own)
-        found: list[tuple[float, int]] = []
-        count = 0
-        floor = 0.0  # similarity of the k-th example so far
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or count >= self.k and bound[b] < floor - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, w in own:
-                where, weight, starts = self.postings[t]
-                part = slice(starts[b], starts[b + 1])
-                scores[where[part] - b * self.block] += w * weight[part]
-            hits = np.flatnonzero(scores > 0)
-            found += [(-float(scores[x]), int(b) * self.block + int(x)) for x in hits]
-            found.sort()
-            count, keep = 0, 0
-            for score, entry in found:
-                count += int(self.total[entry]) - (1 if without and without[0] == entry else 0)
-                keep += 1
-                if count >= self.k:
-                    floor = -score
-                    break
-            if count >= self.k:
-                while keep < len(found) and -found[keep][0] > floor - 1e-12:
-                    keep += 1
-                found = found[:keep]
-        out, left = [], self.k
-        for score, entry in found:
-            n = int(self.total[entry]) - (1 if without and without[0] == entry else 0)
-            if n > 0 and left > 0:
-                out.append((-score, entry, min(n, left)))
-                left -= n
-        return out
-
-    def share(self, query: dict[int, float], without: tuple[int, int] | None = None) -> tuple[float | None, list]:
-        """Similarity-weighted share of toxic among the nearest examples, and the neighbours."""
-        near = self.nearest(query, without)
-        votes = weight = 0.0
-        for similarity, entry, n in near:
-            total, toxic = int(self.total[entry]), int(self.toxic[entry])
-            if without and without[0] == entry:
-                total, toxic = total - 1, toxic - without[1]
-            votes += similarity * n * toxic / total
-            weight += similarity * n
-        return (votes / weight if weight else None), near
-
-
-def vector(counts: Counter, weights: dict[str, tuple[int, float]]) -> dict[int, float]:
-    """Unit TF-IDF vector over the indexed terms."""
-    raw = {weights[t][0]: (1 + math.log(c)) * weights[t][1] for t, c in counts.items() if t in weights}
-    size = math.sqrt(math.fsum(x * x for x in raw.values()))
-    return {t: x / size for t, x in sorted(raw.items())} if size else {}
-
-
-def _term_counts(texts: DataFrame, only=None) -> DataFrame:
-    """term, n and toxic (rows and toxic rows that hold it) of rows (text, toxic); ``only``: a broadcast set."""
+            entry.append(at)
+        self.entry_of = [entry[5] for entry in self.entry_of]
+        self.k, self.block, self.blocks = k, block, -(-len(order) // block)
+        self.total = np.array([e[0] for e in order], dtype=np.int64)
+        self.toxic = np.array([e[1] for e in order], dtype=np.int64)
+        self.ids = [e[2] for e in order]
+        terms = np.concatenate([e[3] for e in order]) if order else np.empty(0, np.int64)
+        weights = np.concatenate([e[4] for e in order]) if order else np.empty(0)
+        where = np.repeat(np.arange(len(order)), [len(e[3]) for e in order])
+        by_term = np.lexsort((where, terms))
+        terms, self.weights, self.where = terms[by_term], weights[by_term], where[by_term].astype(np.int32)
+        # Runs of postings of one term in one block: first posting, block, greatest weight; and each term's first run.
+        part = self.where // block
+        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (part[1:] != part[:-1])])) if len(terms) else np.empty(0, np.int64)
+        self.runs, self.run_block = np.append(first, len(terms)), part[first]
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.term_runs = np.searchsorted(terms[first], np.arange((int(terms[-1]) if len(terms) else -1) + 2))
+
+    @staticmethod
+    def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all ranges in a row, and which range each is of."""
+        sizes = last - first
+        whose = np.repeat(np.arange(len(first)), sizes)
+        return np.arange(len(whose)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes), whose
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Similarities, entries and examples counted, from the nearest down, k examples in all; ties go to the lower
+        entry. ``without``: an entry of which one example is left out."""
+        terms, weights = query
+        have = terms < len(self.term_runs) - 1
+        terms, weights = terms[have], weights[have]
+        runs, whose = self._spread(self.term_runs[terms], self.term_runs[terms + 1])
+        bound = np.bincount(self.run_block[runs], weights=weights[whose] * self.most[runs], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int(np.count_nonzero(bound > 0))]
+        at, step, floor = 0, 8, 0.0
+        scores, entries = np.empty(0), np.empty(0, np.int64)
+        rank = np.full(self.blocks, self.blocks)
+        rank[order] = np.arange(len(order))
+        place = rank[self.run_block[runs]]  # each run's block by its bound
+        while at < len(order) and bound[order[at]] >= floor - 1e-11:
+            now = (place >= at) & (place < at + step)
+            mine, of = runs[now], whose[now]
+            postings, which = self._spread(self.runs[mine], self.runs[mine + 1])
+            fresh, inverse = np.unique(self.where[postings], return_inverse=True)
+            found = np.bincount(inverse, weights=weights[of][which] * self.weights[postings], minlength=len(fresh))
+            scores = np.concatenate([scores, np.round(found, 12)])  # so that ties do not hang on the order of sums
+            entries = np.concatenate([entries, fresh])
+            at, step = at + step, step * 4
+            best = np.lexsort((entries, -scores))
+            counts = np.cumsum(self.total[entries[best]] - (entries[best] == without))
+            full = int(np.searchsorted(counts, self.k))
+            if full < len(best):
+                floor = scores[best[full]]
+        best = np.lexsort((entries, -scores))
+        scores, entries = scores[best], entries[best]
+        counts = self.total[entries] - (entries == without)
+        taken = np.minimum(counts, np.maximum(0, self.k - (np.cumsum(counts) - counts)))
+        return scores[taken > 0], entries[taken > 0], taken[taken > 0]
+
+    def vote(self, query: tuple[np.ndarray, np.ndarray], without: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
+        """The toxic neighbours' similarities over k, and the nearest entries; ``without``: the entry and the label of
+        an example that is left out."""
+        scores, entries, taken = self.nearest(query, None if without is None else without[0])
+        total, toxic = self.total[entries], self.toxic[entries]
+        if without is not None:
+            own = entries == without[0]
+            total, toxic = total - own, toxic - own * without[1]
+        return math.fsum(scores * taken * toxic / total) / self.k, entries
+
+
+def _term_counts(texts: DataFrame) -> DataFrame:
+    """term, n and toxic (rows and toxic rows that hold it) of rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -171,86 +178,112 @@ def _term_counts(texts: DataFrame, only=None) -> DataFrame:
             bad.clear()
             return rows
 
-        counted = Terms(only.value) if only is not None else None
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if counted is not None:
-                    held = set(counted(text))
-                else:
-                    held = {f for w in set(WORD.findall(text.lower())) for f in features(w)} if text else set()
+                held = {f for w in set(WORD.findall(text.lower())) for f in features(w)} if text else set()
                 n.update(held)
                 if toxic:
                     bad.update(held)
-            if len(n) > 500_000:
-                yield out()
+                if len(n) > 200_000:
+                    yield out()
         yield out()
 
-    return texts.mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return texts.select("text", "toxic").mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_terms: int = TERMS, max_examples: int = EXAMPLES) -> dict:
-    """Index, term weights and calibration, all of bounded size."""
-    spark = docs.sparkSession
+def _frequencies(docs: DataFrame, terms) -> DataFrame:
+    """number and n (rows that hold it) of the terms of a broadcast ``Terms``, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms.value
+        n = np.zeros(len(known.weights), np.int64)
+        for batch in sliced(batches, "text"):
+            for text in batch.column(0):
+                n[known.numbers(text.as_py())[0]] += 1
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["number", "n"])
+
+    return docs.select("text").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+
+
+def relevance(terms: DataFrame, n: int, bad: int) -> DataFrame:
+    """term and relevance of the rows (term, n, toxic) whose log odds among ``bad`` toxic of ``n`` texts exceed those
+    among the others by more than a standard error; counts are raised by one half."""
+    a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
+    c, d = F.lit(bad + 1.0) - a, F.lit(n - bad + 1.0) - b
+    odds = F.log(a) - F.log(c) - F.log(b) + F.log(d)
+    return terms.filter("toxic > 0").select("term", (odds - F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)).alias("relevance")).filter("relevance > 0")
+
+
+def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """doc_id (the least), text and toxic of the distinct labelled texts outside the held-out part, about ``most``."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.filter(~held_out(F.col("doc_id"), PARTS, HELD))
-    marks = written(marks)
-    labelled = marks.count()
-    if labelled > max_examples:
-        # A fixed share of the ids by hash: about max_examples of them, however many there are.
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_examples / labelled)))
-    # Bounded by max_examples, so the labels go to the texts and no text is shuffled.
-    train = written(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")))
+    marks = written(marks.filter(~held_out(F.col("doc_id"), PARTS, HELD)))
+
+    def share(rows: DataFrame, column: str) -> DataFrame:
+        """A fixed share by hash: about ``most`` rows, however many there are."""
+        n = rows.count()
+        return rows.filter(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int((1 << 30) * (most / n))) if n > most else rows
+
+    # Bounded by ``most``, so the labels go to the texts and no text is shuffled but these.
+    train = docs.select("doc_id", "text").join(F.broadcast(share(marks, "doc_id")), "doc_id")
+    return share(written(train.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").cast("int").alias("toxic"))), "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES) -> dict:
+    """Index, terms and calibration, all of bounded size."""
+    spark = docs.sparkSession
+    train = examples_of(docs, labels, max_examples)
     n, bad = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    empty = {"index": None, "weights": {}, "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
+    empty = {"index": None, "terms": Terms([], np.empty(0)), "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
     if not n or not bad or bad == n:
         return empty
-    base = bad / n
-    # Chi-square of a term against the label, over the distinct texts of the examples: copies of one
-    # document would make its own words tell.
-    single = written(train.groupBy("text").agg(F.max("toxic").alias("toxic")))
-    n, bad = single.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    a, b = F.col("toxic"), F.col("n") - F.col("toxic")
-    c, d = F.lit(bad) - a, F.lit(n - bad) - b
-    cross = (a * d - b * c).cast("double")
-    chi = F.lit(float(n)) * cross * cross / ((a + b).cast("double") * (c + d) * F.lit(float(bad)) * F.lit(float(n - bad)))
-    best = _term_counts(single).filter((F.col("n") >= LEAST_DOCS) & (a >= LEAST_SHARE * bad) & (2 * a >= F.col("n")))
-    best = best.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (a * (n - bad) > b * bad)).orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()
-    if not best:
+    told = relevance(_term_counts(train), n, bad).orderBy("term").toArrow()  # of the bounded examples
+    if not told.num_rows:
         return empty
-    chosen = spark.sparkContext.broadcast({r["term"] for r in best})
-    # Document frequencies over the whole corpus, of the chosen terms.
-    frequency = {r["term"]: r["n"] for r in _term_counts(docs.select("text", F.lit(False)), chosen).collect()}
-    rows = docs.count()
-    weights = {t: (i, math.log((rows + 1) / (frequency.get(t, 0) + 1)) + 1) for i, t in enumerate(sorted(chosen.value))}
+    terms = Terms(told["term"].to_pylist(), told["relevance"].to_numpy())
+    frequency = _frequencies(docs, spark.sparkContext.broadcast(terms)).toArrow()
+    rows = np.zeros(len(terms.weights))
+    rows[frequency["number"].to_numpy()] = frequency["n"].to_numpy()
+    terms.weights = terms.weights * (np.log((docs.count() + 1) / (rows + 1)) + 1)
+    sent = spark.sparkContext.broadcast(terms)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            found = [sent.value.vector(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = train.select("doc_id", "text", "toxic").mapInArrow(vectors, f"doc_id {kind}, toxic int, t array<long>, w array<double>").orderBy("doc_id", "toxic").toArrow().combine_chunks()
+    toxic = found["toxic"].to_pylist()
+    whole = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(found["t"], found["w"])]
+    bare = [x for x, v in zip(toxic, whole) if not len(v[0])]
+    prior = (sum(bare) + bad / n) / (len(bare) + 1)
+    rows_told = [k for k, v in enumerate(whole) if len(v[0])]
+    ids = found["doc_id"].to_pylist()
+    index = Index([whole[k] for k in rows_told], [toxic[k] for k in rows_told], [ids[k] for k in rows_told])
+    return {"index": index, "terms": terms, "prior": prior, "bins": _calibrated(spark, index, [whole[k] for k in rows_told], [toxic[k] for k in rows_told], bad / n)}
+
+
+def _calibrated(spark, index: Index, vectors: list, toxic: list[int], base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Votes and the toxic share there, from each example when it is left out, made monotone; worked out by the
+    executors. Only bins with examples are told."""
+    sent = spark.sparkContext.broadcast((index, vectors, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = Terms(weights)
+        index, vectors, toxic = sent.value
         for batch in batches:
-            found = [vector(counted(t), weights) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
+            rows = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([index.vote(vectors[k], (index.entry_of[k], toxic[k]))[0] for k in rows]), pa.array([toxic[k] for k in rows])], names=["vote", "toxic"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    examples = train.mapInArrow(run, f"doc_id {kind}, toxic int, t array<int>, w array<double>").orderBy("doc_id").toArrow().to_pylist()
-    bare = [e["toxic"] for e in examples if not e["t"]]
-    prior = (sum(bare) + base) / (len(bare) + 1)
-    told = [e for e in examples if e["t"]]
-    vectors = [dict(zip(e["t"], e["w"])) for e in told]
-    index = Index(vectors, [e["toxic"] for e in told], [e["doc_id"] for e in told])
-    # Leave-one-out shares, binned: toxic share per bin with the neighbours' own share as prior, made monotone.
-    order = {key: at for at, key in enumerate(sorted({tuple(sorted(v.items())) for v in vectors}))}
-    memo: dict = {}
-    total, hit = np.zeros(BINS + 1), np.zeros(BINS + 1)
-    for v, e in zip(vectors, told):
-        key = (order[tuple(sorted(v.items()))], e["toxic"])
-        if key not in memo:
-            memo[key] = index.share(v, key)[0]
-        if memo[key] is not None:
-            b = int(memo[key] * BINS + 1e-9)
-            total[b] += 1
-            hit[b] += e["toxic"]
-    middle = (np.arange(BINS + 1) + 0.5) / (BINS + 1)
-    rate = (hit + 2 * middle) / (total + 2)
-    return {"index": index, "weights": weights, "prior": prior, "bins": _monotone(rate, total + 2)}
+    votes = spark.range(0, len(vectors), 1, max(1, len(vectors) // 500)).mapInArrow(run, "vote double, toxic long").toArrow()
+    place = np.minimum((votes["vote"].to_numpy() * BINS + 1e-9).astype(np.int64), BINS)
+    total = np.bincount(place, minlength=BINS + 1).astype(float)
+    hit = np.bincount(place, weights=votes["toxic"].to_numpy(), minlength=BINS + 1)
+    mean = np.bincount(place, weights=votes["vote"].to_numpy(), minlength=BINS + 1)
+    some = total > 0
+    rate = (hit[some] + 0.5 * base) / (total[some] + 0.5)
+    return mean[some] / total[some], _monotone(rate, total[some] + 0.5)
 
 
 def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -265,6 +298,13 @@ def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([[r] * int(n) for r, _, n in pools])
 
 
+def calibrated(vote: float, bins: tuple[np.ndarray, np.ndarray]) -> float:
+    """The score of a vote: between the votes of the table the odds grow as a power of the vote."""
+    votes, rates = bins
+    odds = np.interp(math.log(max(vote, LEAST_VOTE)), np.log(np.maximum(votes, LEAST_VOTE)), np.log(rates / (1 - rates)))
+    return 1 / (1 + math.exp(-odds))
+
+
 def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of up to three nearest examples) of every row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
@@ -272,23 +312,18 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
-        index, weights, bins = fitted["index"], fitted["weights"], fitted["bins"]
-        memo: dict = {}
-        counted = Terms(weights)
-        for batch in batches:
+        index, terms, bins = fitted["index"], fitted["terms"], fitted["bins"]
+        for batch in sliced(batches, "text"):
             scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                held = counted(text)
-                key = tuple(sorted(held.items()))
-                if key not in memo:
-                    if len(memo) >= 100_000:
-                        memo.clear()
-                    share, near = index.share(vector(held, weights)) if held else (None, [])
-                    # Between bins the score moves in proportion.
-                    value = fitted["prior"] if share is None else float(np.interp(share * BINS, np.arange(BINS + 1), bins))
-                    memo[key] = (value, [index.ids[e] for _, e, _ in near[:3]])
-                scores.append(memo[key][0])
-                evidence.append(memo[key][1])
+            for text in batch.column(1):
+                vector = terms.vector(text.as_py())
+                if len(vector[0]):
+                    vote, near = index.vote(vector)
+                    scores.append(calibrated(vote, bins))
+                    evidence.append([index.ids[e] for e in near[:3]])
+                else:
+                    scores.append(fitted["prior"])
+                    evidence.append([])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(batch.column(0).type))], names=["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double, evidence array<{kind.simpleString()}>")

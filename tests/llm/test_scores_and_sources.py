@@ -125,17 +125,77 @@ def test_toxicity_without_labels(spark):
 
 
 def test_block_max_search_is_exact():
+    """Neighbours, ties at the k-th among them, and votes, with and without an example, against all similarities."""
     rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(700):
-        terms = rng.choice(40, rng.integers(1, 6), replace=False)
-        w = rng.random(len(terms)) + 0.1
-        vectors.append({int(t): float(x) for t, x in sorted(zip(terms, w / np.linalg.norm(w)))})
-    index = toxicity.Index(vectors, [0] * 700, list(range(700)), k=10, block=16)
-    for q in vectors[:40]:
-        near = [s for s, _, n in index.nearest(q) for _ in range(n)]
-        brute = sorted((sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors), reverse=True)[:10]
-        assert near == pytest.approx([b for b in brute if b > 0][: len(near)]) and len(near) == min(10, sum(b > 0 for b in brute))
+    vectors, toxic = [], []
+    for k in range(700):
+        terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
+        w = rng.integers(1, 4, len(terms)).astype(float)  # few values, so many ties and equal vectors
+        vectors.append((terms, w / np.linalg.norm(w)))
+        toxic.append(int(k % 3 == 0))
+    index = toxicity.Index(vectors, toxic, list(range(700)), k=10, block=16)
+    dense = np.zeros((700, 40))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
+    entry = np.array(index.entry_of)
+    for q in range(60):
+        for left_out in (False, True):
+            near = dense @ dense[q]
+            rows = [k for k in range(700) if near[k] > 1e-12 and not (left_out and k == q)]
+            # Entries in order of similarity, then number; of the last one, its share of toxic examples.
+            rows.sort(key=lambda k: (-round(near[k], 9), entry[k]))
+            scores, entries, taken = index.nearest(vectors[q], int(entry[q]) if left_out else None)
+            assert taken.sum() == min(10, len(rows))
+            assert sorted(np.repeat(np.round(scores, 9), taken)) == sorted(round(near[k], 9) for k in rows[:10])
+            assert sorted(np.repeat(entries, taken)) == sorted(entry[k] for k in rows[:10])
+            share = {e: np.mean([toxic[k] for k in rows if entry[k] == e]) for e in entries}
+            want = sum(s * n * share[e] for s, e, n in zip(scores, entries, taken)) / 10
+            assert index.vote(vectors[q], (int(entry[q]), toxic[q]) if left_out else None)[0] == pytest.approx(want)
+
+
+def test_scores_follow_the_brute_force_cosine_vote(spark):
+    """Weights, vectors, votes and order of scores, worked out apart over all examples and documents."""
+    rows, labels = toxic_corpus(spark, 240)
+    rows = rows + [(7001, rows[0][1], "en", "a"), (7001, rows[0][1], "en", "a"), (7002, "word " * 30_000, "en", "a")]
+    frame = docs(spark, rows).withColumns({"toxic": F.lit(1), "term": F.lit("clash")})
+    out = {r.doc_id: r for r in toxicity.toxicity_query(frame, labels).collect()}
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    train = {}
+    for i, t, *_ in rows:
+        if i in marks and zlib.crc32(str(i).encode()) % 3 != 1:
+            train[t] = max(train.get(t, 0), marks[i])
+    terms = lambda t: collections.Counter(f for w in toxicity.WORD.findall((t or "").lower()) for f in toxicity.features(w))
+    n, bad = len(train), sum(train.values())
+    held = collections.Counter(f for t in train for f in terms(t))
+    ill = collections.Counter(f for t, x in train.items() if x for f in terms(t))
+    everywhere = collections.Counter(f for _, t, *_ in rows for f in terms(t))
+    weight = {}
+    for f, a in ill.items():
+        a, b = a + 0.5, held[f] - ill[f] + 0.5
+        c, d = bad + 1 - a, n - bad + 1 - b
+        x = math.log(a * d / (b * c)) - math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        if x > 0:
+            weight[f] = x * (math.log((len(rows) + 1) / (everywhere[f] + 1)) + 1)
+
+    def vector(t):
+        raw = {f: (1 + math.log(k)) * weight[f] for f, k in terms(t).items() if f in weight}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {f: x / size for f, x in raw.items()}
+
+    examples = [(vector(t), x) for t, x in train.items()]
+    votes = {}
+    for i, t, *_ in rows:
+        q = vector(t)
+        near = sorted(((sum(w * v.get(f, 0.0) for f, w in q.items()), x) for v, x in examples), key=lambda s: -s[0])
+        border = near[toxicity.NEIGHBOURS - 1][0] - near[toxicity.NEIGHBOURS][0]
+        if q and border > 1e-9:  # no tie at the border
+            votes[i] = sum(s * x for s, x in near[: toxicity.NEIGHBOURS]) / toxicity.NEIGHBOURS
+        elif not q:
+            assert out[i].evidence == []
+    assert len(votes) > 50
+    order = sorted(votes, key=lambda i: (votes[i], out[i].score))
+    scores = [out[i].score for i in order]
+    assert all(x <= y + 1e-9 for x, y in zip(scores, scores[1:]))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav>
