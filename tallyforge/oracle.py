@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import catalog, pairs
-
 TX = """transactions AS (
   SELECT 'TXN' || l_orderkey || '-' || l_linenumber AS transaction_id,
     CASE WHEN o_custkey % 97 = 0 THEN 'UNKNOWN_CUSTOMER' ELSE 'CUST' || o_custkey END AS customer_id,
@@ -13,7 +11,7 @@ TX = """transactions AS (
     o_orderpriority AS payment_method, CAST(18 + o_custkey % 63 AS INTEGER) AS customer_age, c_mktsegment AS customer_segment
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-region_dim AS (SELECT * FROM (VALUES ('AFRICA', 'Territory 1'), ('AMERICA', 'Territory 1'), ('ASIA', 'Territory 2'), ('EUROPE', 'Territory 2')) d(region, sales_territory)),
+region_dim AS (SELECT * FROM (VALUES ('AFRICA', 'Territory 1'), ('AMERICA', 'Territory 1'), ('ASIA', 'Territory 2'), ('EUROPE', 'Territory 2'), ('MIDDLE EAST', 'Territory 3')) d(region, sales_territory)),
 known AS (SELECT * FROM transactions WHERE customer_id <> 'UNKNOWN_CUSTOMER' AND purchase_date IS NOT NULL)"""
 
 _FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%d-%m-%Y", "%Y/%m/%d", "%d %b %Y", "%B %d, %Y", "%Y-%m-%dT%H:%M:%S", "%m-%d-%Y %H:%M")
@@ -166,17 +164,6 @@ churn AS (
 SCORED = "scored AS (SELECT customer_id, churned AS label, CAST(recency_days % 100 AS DOUBLE) / 100.0 AS score, region, customer_segment FROM churn)"
 
 
-def translated(sql: str) -> str:
-    """A catalog query in the other dialect, over the transactions above."""
-    import re
-
-    sql = re.sub(r"date_format\((\w+), 'yyyy-MM'\)", r"strftime(\1, '%Y-%m')", sql)
-    sql = re.sub(r"trunc\((\w+), 'MM'\)", r"date_trunc('month', \1)", sql)
-    sql = re.sub(r"datediff\((\w+), (\w+)\)", r"datediff('day', \2, \1)", sql).strip()
-    tables = TX[: TX.rindex(",\nknown AS")]
-    return f"WITH {tables}, {sql[4:]}" if sql[:4].upper() == "WITH" else f"WITH {tables} {sql}"
-
-
 def _tx(sql: str, *ctes: str) -> str:
     return f"WITH {', '.join([TX, *ctes])} {sql}"
 
@@ -185,6 +172,24 @@ def _revenue(expression: str) -> str:
     return _tx(f"SELECT {expression} AS period, region, {r(money())} AS revenue FROM transactions WHERE purchase_date IS NOT NULL GROUP BY 1, 2")
 
 
+_SUM = "SUM(CAST(total_amount AS DECIMAL(18,2)))"
+_WORTH = f"worth AS (SELECT customer_id, {_SUM} AS v, COUNT(*) AS total_orders, MIN(purchase_date) AS first_purchase_date, MAX(purchase_date) AS last_purchase_date FROM transactions WHERE customer_id <> 'UNKNOWN_CUSTOMER' GROUP BY customer_id)"
+_PERIODS = "{name} AS (SELECT *, row_number() OVER (ORDER BY {by}) AS n FROM (SELECT {key}, " + money() + " AS v FROM transactions WHERE purchase_date IS NOT NULL GROUP BY 1))"
+#: One row per purchase: its customer's first month, its own, and the months between.
+_VISITS = """visits AS (
+  SELECT customer_id, cohort_month, CAST(date_trunc('month', purchase_date) AS DATE) AS activity_month, datediff('month', cohort_month, CAST(date_trunc('month', purchase_date) AS DATE)) AS k
+  FROM (SELECT *, CAST(date_trunc('month', MIN(purchase_date) OVER (PARTITION BY customer_id)) AS DATE) AS cohort_month FROM known))"""
+_ACTIVITY = "SELECT cohort_month, activity_month, COUNT(DISTINCT customer_id) AS active_customers FROM visits GROUP BY ALL"
+
+
+def _growth(now: str, before: str) -> str:
+    return r(f"({now} - {before}) / NULLIF({before}, 0) * 100")
+
+
+def _share(k: int) -> str:
+    return r(f"CAST(NULLIF(COUNT(DISTINCT customer_id) FILTER (k = {k}), 0) AS DOUBLE) / COUNT(DISTINCT customer_id) * 100")
+
+
 MASK = "purchase_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND region IN ('ASIA', 'EUROPE') AND category IN ('PROMO', 'SMALL', 'LARGE')"
 _REGIONS = _VOCABULARY["region"]
 _CELLS = "cells AS (SELECT label AS actual, CAST(score >= 0.5 AS INTEGER) AS predicted, COUNT(*) AS n FROM scored GROUP BY 1, 2), one AS (SELECT " + ", ".join(f"CAST(coalesce(SUM(n) FILTER (actual = {a} AND predicted = {p}), 0) AS DOUBLE) AS {name}" for a, p, name in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))) + " FROM cells)"
@@ -214,8 +219,45 @@ def _report() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    **{name: translated(q.sql) for name, q in catalog.catalog().items()},
-    **{name: translated(sql) for name, sql in pairs.SQL.items()},
+    # the SQL catalog and the pairs of plans, each question asked anew
+    "revenue_trend_daily": _tx(
+        f"""SELECT d.purchase_date, d.v AS daily_revenue, {r('(SELECT CAST(SUM(CAST(w.v AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) FROM days w WHERE w.n BETWEEN d.n - 6 AND d.n)')} AS revenue_7day_moving_avg FROM days d""",
+        f"days AS (SELECT purchase_date, {money()} AS v, row_number() OVER (ORDER BY purchase_date) AS n FROM transactions WHERE purchase_date IS NOT NULL GROUP BY purchase_date)",
+    ),
+    "revenue_trend_monthly_growth": _tx(f"SELECT m.month AS purchase_year_month, m.v AS monthly_revenue, p.v AS prior_month_revenue, {_growth('m.v', 'p.v')} AS mom_growth_pct FROM months m LEFT JOIN months p ON p.n = m.n - 1", _PERIODS.format(name="months", key="strftime(purchase_date, '%Y-%m') AS month", by="month")),
+    "revenue_trend_category_share": _tx(f"SELECT s.month AS purchase_year_month, s.category, s.v AS category_revenue, {r('s.v / NULLIF(m.v, 0) * 100')} AS pct_of_month_revenue FROM (SELECT strftime(purchase_date, '%Y-%m') AS month, category, {money()} AS v FROM transactions WHERE purchase_date IS NOT NULL GROUP BY 1, 2) s JOIN months m USING (month)", _PERIODS.format(name="months", key="strftime(purchase_date, '%Y-%m') AS month", by="month")),
+    "customer_ltv_ranking": _tx(
+        "SELECT customer_id, CAST(v AS DOUBLE) AS lifetime_value, total_orders, first_purchase_date, last_purchase_date, CAST(last_purchase_date - first_purchase_date AS INTEGER) AS customer_tenure_days, CAST(rank() OVER (ORDER BY v DESC) AS INTEGER) AS ltv_rank, CAST(ntile(4) OVER (ORDER BY v DESC, customer_id) AS INTEGER) AS ltv_quartile FROM worth",
+        _WORTH,
+    ),
+    "customer_ltv_by_segment": _tx(
+        f"SELECT customer_segment, COUNT(*) AS customer_count, CAST(SUM(v) AS DOUBLE) AS segment_revenue, {r('CAST(SUM(v) AS DOUBLE) / COUNT(*)')} AS avg_customer_ltv, CAST(quantile_disc(v, 0.5) AS DOUBLE) AS median_customer_ltv FROM each_one GROUP BY customer_segment",
+        f"each_one AS (SELECT customer_id, customer_segment, {_SUM} AS v FROM transactions WHERE customer_id <> 'UNKNOWN_CUSTOMER' GROUP BY ALL)",
+    ),
+    "customer_ltv_top_per_region": _tx(
+        "SELECT a.region, a.customer_id, CAST(a.v AS DOUBLE) AS lifetime_value, CAST(COUNT(b.v) + 1 AS INTEGER) AS region_ltv_rank FROM local a LEFT JOIN local b ON a.region = b.region AND b.v > a.v GROUP BY a.region, a.customer_id, a.v HAVING COUNT(b.v) < 5",
+        f"local AS (SELECT region, customer_id, {_SUM} AS v FROM transactions WHERE customer_id <> 'UNKNOWN_CUSTOMER' GROUP BY ALL)",
+    ),
+    "cohort_retention_rate": _tx(
+        f"SELECT cohort_month, CAST(k AS INTEGER) AS month_number, cohort_size, COUNT(DISTINCT customer_id) AS active_customers, {r('CAST(COUNT(DISTINCT customer_id) AS DOUBLE) / cohort_size * 100')} AS retention_rate_pct FROM visits JOIN (SELECT cohort_month, COUNT(DISTINCT customer_id) AS cohort_size FROM visits GROUP BY cohort_month) USING (cohort_month) GROUP BY cohort_month, k, cohort_size",
+        _VISITS,
+    ),
+    "cohort_retention_summary": _tx(
+        "SELECT cohort_month, COUNT(DISTINCT customer_id) AS cohort_size, " + ", ".join(f"{_share(k)} AS month_{k}_retention_pct" for k in (1, 3, 6)) + " FROM visits GROUP BY cohort_month",
+        _VISITS,
+    ),
+    "regional_performance_summary": _tx(
+        f"SELECT region, sales_territory, {money()} AS revenue, COUNT(*) AS total_orders, COUNT(DISTINCT customer_id) AS unique_customers, {avg()} AS avg_order_value, CAST(1 + (SELECT COUNT(*) FROM (SELECT region AS other, {_SUM} AS v FROM transactions GROUP BY region) o WHERE o.v > {_SUM} AND o.other IN (SELECT region FROM region_dim)) AS INTEGER) AS revenue_rank FROM transactions NATURAL JOIN region_dim GROUP BY region, sales_territory"
+    ),
+    "regional_category_breakdown": _tx(f"SELECT region, category, {money()} AS revenue, {r(f'{money()} / NULLIF(CAST(MAX(whole) AS DOUBLE), 0) * 100')} AS pct_of_region_revenue FROM transactions JOIN (SELECT region, {_SUM} AS whole FROM transactions GROUP BY region) USING (region) GROUP BY region, category"),
+    "regional_yoy_comparison": _tx(
+        f"SELECT y.region, y.purchase_year, y.v AS yearly_revenue, p.v AS prior_year_revenue, {_growth('y.v', 'p.v')} AS yoy_growth_pct FROM years y LEFT JOIN years p ON p.region = y.region AND p.purchase_year = (SELECT MAX(q.purchase_year) FROM years q WHERE q.region = y.region AND q.purchase_year < y.purchase_year)",
+        f"years AS (SELECT region, CAST(date_part('year', purchase_date) AS INTEGER) AS purchase_year, {money()} AS v FROM transactions WHERE purchase_date IS NOT NULL GROUP BY 1, 2)",
+    ),
+    **{name: _tx(f"SELECT sales_territory, region, {money()} AS revenue, COUNT(*) AS num_transactions FROM region_dim NATURAL JOIN transactions GROUP BY ALL") for name in ("join_region_sort_merge", "join_region_broadcast")},
+    **{name: _tx("SELECT customer_id, CAST(v AS DOUBLE) AS lifetime_value, CAST(rank() OVER (ORDER BY v DESC) AS INTEGER) AS ltv_rank FROM worth", _WORTH) for name in ("ltv_rank_self_join", "ltv_rank_window")},
+    "cohort_activity_unfiltered": _tx(_ACTIVITY, _VISITS.replace("known", "dated").replace("visits AS", "dated AS (SELECT * FROM transactions WHERE purchase_date IS NOT NULL), visits AS")),
+    "cohort_activity_prefiltered": _tx(_ACTIVITY, _VISITS),
     # sources and sinks
     "scan_filter_project": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_returnflag = 'R'",
     "region_dimension": _tx("SELECT * FROM region_dim"),

@@ -34,12 +34,21 @@ FROM sold;
 -- @description: Known customers by lifetime value, with rank and quartile.
 WITH bought AS (
   SELECT customer_id, SUM(CAST(total_amount AS DECIMAL(18,2))) AS worth, COUNT(*) AS total_orders, MIN(purchase_date) AS first_purchase_date, MAX(purchase_date) AS last_purchase_date
-  FROM transactions WHERE customer_id <> 'UNKNOWN_CUSTOMER' GROUP BY customer_id)
+  FROM transactions WHERE customer_id <> 'UNKNOWN_CUSTOMER' GROUP BY customer_id),
+-- Bins of the logarithm deal the customers, so that no window holds all; the counts of higher bins are carried in.
+binned AS (SELECT *, CAST(FLOOR(LN(GREATEST(CAST(worth AS DOUBLE), 0) + 1) * 512) AS INT) AS bin FROM bought),
+bins AS (SELECT bin, COUNT(*) AS n FROM binned GROUP BY bin),
+higher AS (SELECT bin, SUM(n) OVER (ORDER BY bin DESC) - n AS above, SUM(n) OVER () AS whole FROM bins),
+placed AS (
+  SELECT b.*, above, whole, above + RANK() OVER (PARTITION BY b.bin ORDER BY worth DESC) AS ltv_rank, above + ROW_NUMBER() OVER (PARTITION BY b.bin ORDER BY worth DESC, customer_id) AS place
+  FROM binned b JOIN higher h ON b.bin = h.bin)
 SELECT customer_id, CAST(worth AS DOUBLE) AS lifetime_value, total_orders, first_purchase_date, last_purchase_date,
        CAST(datediff(last_purchase_date, first_purchase_date) AS INT) AS customer_tenure_days,
-       CAST(RANK() OVER (ORDER BY worth DESC) AS INT) AS ltv_rank,
-       CAST(NTILE(4) OVER (ORDER BY worth DESC, customer_id) AS INT) AS ltv_quartile
-FROM bought;
+       CAST(ltv_rank AS INT) AS ltv_rank,
+       -- Four quarters of the places; the first ones are larger by one where the customers do not divide.
+       CAST(CASE WHEN place <= (whole % 4) * (whole DIV 4 + 1) THEN CEIL(place / (whole DIV 4 + 1))
+                 ELSE whole % 4 + CEIL((place - (whole % 4) * (whole DIV 4 + 1)) / (whole DIV 4)) END AS INT) AS ltv_quartile
+FROM placed;
 
 -- @name: customer_ltv_by_segment
 -- @description: Lifetime value by segment; a customer counts in each of their segments.

@@ -39,8 +39,8 @@ class Vocabulary:
     customer_segment: tuple[str, ...] = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-#: Region and territory; the fifth region of the data is left out on purpose, so that outer joins show.
-TERRITORIES = (("AFRICA", "Territory 1"), ("AMERICA", "Territory 1"), ("ASIA", "Territory 2"), ("EUROPE", "Territory 2"))
+#: Region and territory, for every region of the data.
+TERRITORIES = (("AFRICA", "Territory 1"), ("AMERICA", "Territory 1"), ("ASIA", "Territory 2"), ("EUROPE", "Territory 2"), ("MIDDLE EAST", "Territory 3"))
 
 
 def validate_schema(df: DataFrame, expected: T.StructType) -> list[str]:
