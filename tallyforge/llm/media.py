@@ -41,7 +41,7 @@ RADIUS = 16
 BITS, TABLES, KEY = 256, 8, 48
 NEAR = 48  # most differing bits of a descriptor match
 INLIERS, TURN, GROWTH, SHIFT = 6, 30.0, 0.5, 4.0
-ROUNDS = 6
+ROUNDS = 3
 #: Corners described, or descriptors compared, in one step.
 STEP = 512
 

@@ -1,7 +1,7 @@
 """The cleansing algebra: duplicates, dates, types, ranges, outliers, nulls.
 
-Each step is a function from DataFrame to DataFrame, and a twin that gives its metrics as one row. Statistics stay
-in the plan as one-row or few-row tables that are joined in: no step brings control back to the driver.
+Each step is a function from DataFrame to DataFrame, and a twin that gives its metrics as one row. Statistics are
+one-row or few-row tables that are joined in; no rows come to the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.cleaning import canonical, parse_date
 from tallyforge.functions.exact import SENTINEL, rounded
 from tallyforge.sources.schema import COLUMNS, Vocabulary
+from tallyforge.sources.sinks import materialized
 
 CATEGORICAL = ("category", "region", "payment_method", "customer_segment")
 MONEY = ("unit_price", "total_amount")
@@ -102,32 +103,38 @@ def outlier_counts(df: DataFrame, columns: tuple[str, ...] = ("total_amount", "q
 
 def modes(df: DataFrame, columns: tuple[str, ...] = CATEGORICAL) -> DataFrame:
     """One row: the most frequent value of each column, the least of equals; null where there is none."""
-    out = None
-    for c in columns:
-        counted = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        one = counted.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    counted = df.select(*columns).unpivot([], list(columns), "name", "value").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+    best = counted.groupBy("name").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))  # a row for each column
+    return best.agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns])
 
 
 def group_medians(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.filter("category is not null").groupBy("category").agg(*[quantile(c, 0.5, exact).alias(f"{c}_median") for c in MONEY])
 
 
+#: Categories up to which their medians are broadcast.
+FEW_CATEGORIES = 10_000
+
+
+def _medians(df: DataFrame, columns: tuple[str, ...], exact: bool) -> DataFrame:
+    return df.agg(*[quantile(c, 0.5, exact).cast(df.schema[c].dataType).alias(f"{c}_overall") for c in columns])
+
+
 def impute_money(df: DataFrame, exact: bool = False) -> DataFrame:
     """Missing prices and amounts from the category's median, else from the global one."""
-    overall = df.agg(*[quantile(c, 0.5, exact).alias(f"{c}_overall") for c in MONEY])
-    joined = df.join(group_medians(df, exact).withColumnRenamed("category", "_category"), F.col("category") == F.col("_category"), "left").crossJoin(F.broadcast(overall))
+    medians = materialized(group_medians(df, exact).withColumnRenamed("category", "_category"))
+    if medians.count() <= FEW_CATEGORIES:
+        medians = F.broadcast(medians)
+    joined = df.join(medians, F.col("category") == F.col("_category"), "left").crossJoin(F.broadcast(_medians(df, MONEY, exact)))
     return joined.withColumns({c: F.coalesce(c, f"{c}_median", f"{c}_overall") for c in MONEY}).select(*df.columns)
 
 
 def impute(df: DataFrame, exact: bool = False) -> DataFrame:
     """Numbers from medians, categories from modes, unknown customers from the sentinel; dates and ids stay null."""
-    counts = df.agg(*[quantile(c, 0.5, exact).cast(df.schema[c].dataType).alias(f"{c}_median") for c in ("quantity", "customer_age")])
-    filled = df.crossJoin(F.broadcast(counts)).withColumns({c: F.coalesce(c, f"{c}_median") for c in ("quantity", "customer_age")}).select(*df.columns)
-    filled = impute_money(filled, exact)
+    counts = _medians(df, ("quantity", "customer_age"), exact)
     common = modes(df).select(*[F.col(c).alias(f"{c}_mode") for c in CATEGORICAL])
-    filled = filled.crossJoin(F.broadcast(common)).withColumns({c: F.coalesce(c, f"{c}_mode", F.lit(UNKNOWN)) for c in CATEGORICAL})
+    filled = impute_money(df, exact).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(common))  # one row each
+    filled = filled.withColumns({c: F.coalesce(c, f"{c}_overall") for c in ("quantity", "customer_age")} | {c: F.coalesce(c, f"{c}_mode", F.lit(UNKNOWN)) for c in CATEGORICAL})
     return filled.withColumn("customer_id", F.coalesce("customer_id", F.lit(SENTINEL))).select(*df.columns)
 
 
@@ -138,15 +145,20 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 class DataCleanser:
-    """The steps in their order, on one plan; ``report`` gives the metrics of all as rows (step, metric, value)."""
+    """The steps in their order; ``report`` gives the metrics of all as rows (step, metric, value).
+
+    The typed rows without duplicates, and the capped ones, are written once, for the statistics of later steps read
+    them several times.
+    """
 
-    def __init__(self, df: DataFrame, vocabulary: Vocabulary = Vocabulary(), exact: bool = False):
-        self.raw, self.vocabulary, self.exact = df.select(*COLUMNS), vocabulary, exact
-        self.unique = deduplicate(self.raw)
-        self.dated = standardize_dates(self.unique)
-        self.typed = enforce_types(self.dated, vocabulary)
-        self.ranged = enforce_ranges(self.typed)
-        self.capped = treat_outliers(self.ranged, exact=exact)
+    def __init__(self, df: DataFrame, vocabulary: Vocabulary = Vocabulary(), exact: bool = False, ages: tuple[int, int] = (18, 100), factor: float = 1.5):
+        self.raw, self.vocabulary, self.exact, self.ages, self.factor = df.select(*COLUMNS), vocabulary, exact, ages, factor
+        self.dated = standardize_dates(deduplicate(self.raw))
+        spelt = [F.col(c).alias(f"_{c}") for c in CATEGORICAL]  # as they were, for the report
+        self.both = materialized(enforce_types(self.dated.select("*", *spelt), vocabulary))
+        self.typed = self.both.select(*COLUMNS)
+        self.ranged = enforce_ranges(self.typed, *ages)
+        self.capped = materialized(treat_outliers(self.ranged, factor=factor, exact=exact))
 
     def run(self) -> DataFrame:
         return impute(self.capped, self.exact).select(*COLUMNS)
@@ -159,11 +171,11 @@ class DataCleanser:
         parts = [
             rows("dedup", count(self.raw, "rows_before")),
             rows("dedup", count(dedup_exact(self.raw), "rows_distinct")),
-            rows("dedup", count(self.unique, "rows_after")),
-            rows("dates", self.dated.agg(F.count_if(F.col("purchase_date").isNull()).alias("nulls_after"))),
-            rows("types", change_counts(self.dated, self.vocabulary)),
-            rows("ranges", range_counts(self.typed)),
-            rows("outliers", outlier_counts(self.ranged, exact=self.exact)),
+            rows("dedup", count(self.typed, "rows_after")),
+            rows("dates", self.typed.agg(F.count_if(F.col("purchase_date").isNull()).alias("nulls_after"))),
+            rows("types", change_counts(self.both.select(*[F.col(f"_{c}").alias(c) for c in CATEGORICAL]), self.vocabulary)),
+            rows("ranges", range_counts(self.typed, *self.ages)),
+            rows("outliers", outlier_counts(self.ranged, factor=self.factor, exact=self.exact)),
             rows("impute", self.capped.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in COLUMNS])),
         ]
         out = parts[0]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import subprocess
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -13,12 +15,13 @@ from tallyforge.operators import aggregates, cleansing, features, metrics, model
 from tallyforge.plans import catalog
 from tallyforge.session import Settings, get_logger, get_session
 from tallyforge.sources import readers, sinks
+from tallyforge.sources.schema import Vocabulary
 
 
 @dataclass(frozen=True)
 class Result:
     stage: str
-    status: str  # success, failed or skipped
+    status: str  # success, failed, errored (never started) or skipped
     seconds: float = 0.0
     error: str = ""
 
@@ -42,13 +45,16 @@ def ingest(spark: SparkSession, s: Settings) -> None:
 
 
 def cleanse(spark: SparkSession, s: Settings) -> None:
-    steps = cleansing.DataCleanser(_get(spark, s, "raw"))
+    steps = cleansing.DataCleanser(_get(spark, s, "raw"), Vocabulary.load(s.vocabulary), ages=(s.age_min, s.age_max), factor=s.iqr_factor)
     _put(steps.run(), s, "cleansed")
     sinks.write_report(steps.report(), _at(s, "reports/cleansing"))
 
 
 def transform(spark: SparkSession, s: Settings) -> None:
-    rows = _get(spark, s, "cleansed")
+    """The base dataset, dealt by customer and written once, and the five tables that share it."""
+    dealt = s.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _put(aggregates.base_dataset(_get(spark, s, "cleansed"), readers.region_dimension(spark), dealt), s, "base")
+    rows = _get(spark, s, "base")
     _put(aggregates.daily_revenue(rows), s, "daily_revenue", "region")
     _put(aggregates.monthly_revenue(rows), s, "monthly_revenue", "region")
     _put(aggregates.customer_rfm(rows), s, "customer_rfm")
@@ -100,8 +106,21 @@ def chosen(names: list[str]) -> list[str]:
     return list(STAGES) if not names or "all" in names else [n for n in STAGES if n in names]
 
 
-def run(spark: SparkSession | None, settings: Settings, names: list[str], keep_going: bool = False, dry: bool = False, stages=None) -> list[Result]:
-    """Run stages; after a failure the rest are skipped unless ``keep_going``. A dry run only lists them."""
+def run_apart(name: str, config: str | None = None, environment: str | None = None, python: str = sys.executable) -> Result:
+    """Run one stage in a process of its own; its output goes through. A process that cannot start is errored."""
+    command = [python, "-m", "tallyforge.pipeline", name, *(["--config", config] if config else []), *(["--environment", environment] if environment else [])]
+    began = time.perf_counter()
+    try:
+        code = subprocess.run(command, check=False).returncode
+    except OSError as error:
+        get_logger().exception("stage %s did not start", name)
+        return Result(name, "errored", time.perf_counter() - began, f"{type(error).__name__}: {error}"[:300])
+    return Result(name, "failed" if code else "success", time.perf_counter() - began, f"exit code {code}" if code else "")
+
+
+def run(spark: SparkSession | None, settings: Settings, names: list[str], keep_going: bool = False, dry: bool = False, stages=None, apart: Callable[[str], Result] | None = None) -> list[Result]:
+    """Run stages; after a failure the rest are skipped unless ``keep_going``. A dry run only lists them; ``apart`` runs
+    each in a process of its own instead of on the session."""
     stages = stages or STAGES
     log, results, failed = get_logger(), [], False
     for name in names:
@@ -111,6 +130,10 @@ def run(spark: SparkSession | None, settings: Settings, names: list[str], keep_g
         if failed and not keep_going:
             results.append(Result(name, "skipped"))
             continue
+        if apart is not None:
+            results.append(apart(name))
+            failed = failed or results[-1].status != "success"
+            continue
         began = time.perf_counter()
         try:
             stages[name](spark, settings)
@@ -130,14 +153,17 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Retail pipeline")
     parser.add_argument("stages", nargs="*", default=[])
     parser.add_argument("--config")
+    parser.add_argument("--environment")
+    parser.add_argument("--apart", action="store_true", help="run each stage in a process of its own")
     parser.add_argument("--continue-on-failure", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
-    settings, names = Settings.load(args.config), chosen(args.stages)
-    spark = None if args.dry_run else get_session()
-    results = run(spark, settings, names, args.continue_on_failure, args.dry_run)
+    settings, names = Settings.load(args.config, args.environment), chosen(args.stages)
+    apart = (lambda name: run_apart(name, args.config, args.environment)) if args.apart else None
+    spark = None if args.dry_run or args.apart else get_session()
+    results = run(spark, settings, names, args.continue_on_failure, args.dry_run, apart=apart)
     print(summary(results))
-    return int(any(r.status == "failed" for r in results))
+    return int(any(r.status in ("failed", "errored") for r in results))
 
 
 if __name__ == "__main__":

@@ -8,8 +8,10 @@ import time
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from tallyforge.session import get_logger
 from tallyforge.sources import readers
 
 CATALOG = Path(__file__).with_name("catalog.sql")
@@ -66,6 +68,21 @@ def timed(df: DataFrame) -> float:
     return time.perf_counter() - began
 
 
+def run_query(spark: SparkSession, found: NamedQuery, preview: int = 20) -> tuple[DataFrame, int, float]:
+    """The rows of a catalog query over the registered views, how many, and the seconds it took; all three are logged.
+
+    The result is counted as it is made, by an observation, so that it is made once; the preview takes its first rows.
+    """
+    df = spark.sql(found.sql)
+    seen = Observation(found.name)
+    seconds = timed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get["rows"]
+    get_logger().info("query %s: %d rows in %.2f s", found.name, rows, seconds)
+    if preview:
+        df.show(preview, truncate=False)
+    return df, rows, seconds
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Named SQL queries")
     parser.add_argument("--data", default="/root/testdata/sf0.001")
@@ -88,9 +105,10 @@ def main(argv: list[str] | None = None) -> int:
         notes = pairs.compare(spark, args.data)
         print(notes) if not args.notes else Path(args.notes).write_text(notes)
         return 0
+    register_views(spark, {"transactions": readers.transactions(spark, args.data), "region_dim": readers.region_dimension(spark)})
     for name in [args.query] if args.query else queries:
         print(name)
-        run(spark, name, args.data).show(20, truncate=False)
+        run_query(spark, queries[name])
     return 0
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +28,7 @@ _MASK = ("1996-01-01", "1997-12-31", ("ASIA", "EUROPE"), ("PROMO", "SMALL", "LAR
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder that executors see too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-")
-    return f"{base.rstrip('/')}/retail/{uuid.uuid4().hex}"
+    return f"{sinks.shared_folder(spark)}/retail/{uuid.uuid4().hex}"
 
 
 def _tx(f):

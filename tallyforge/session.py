@@ -13,7 +13,11 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run needs; ``load`` takes a JSON or YAML file, environment variables of the same names come first."""
+    """What a run needs; ``load`` takes a JSON or YAML file, environment variables of the same names come first.
+
+    A file may have a part ``environments``: by name, settings that hold in that environment only. The one that acts is
+    named by ``environment`` in the call, by TALLYFORGE_ENVIRONMENT or in the file, in this order.
+    """
 
     data: str = "/root/testdata/sf0.001"
     out: str = "/tmp/tallyforge"
@@ -21,6 +25,8 @@ class Settings:
     iqr_factor: float = 1.5
     age_min: int = 18
     age_max: int = 100
+    vocabulary: str = ""  # JSON file of known spellings by column; those of the test tables without one
+    partitions: int = 0  # into which the base dataset is dealt by customer; the session's shuffle partitions if 0
     top_n: int = 10
     churn_days: int = 90
     k_min: int = 3
@@ -31,7 +37,7 @@ class Settings:
     test_share: float = 0.2
 
     @classmethod
-    def load(cls, path: str | None = None) -> Settings:
+    def load(cls, path: str | None = None, environment: str | None = None) -> Settings:
         found: dict = {}
         if path:
             text = Path(path).read_text()
@@ -41,6 +47,12 @@ class Settings:
                 found = yaml.safe_load(text) or {}
             else:
                 found = json.loads(text)
+        parts, named = found.pop("environments", {}), found.pop("environment", None)
+        environment = environment or os.environ.get("TALLYFORGE_ENVIRONMENT") or named
+        if environment is not None:
+            if environment not in parts:
+                raise ValueError(f"unknown environment {environment!r}; one of {', '.join(sorted(parts)) or 'none'}")
+            found |= parts[environment]
         kinds = {f.name: type(f.default) for f in fields(cls)}
         unknown = set(found) - set(kinds)
         if unknown:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, fields
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,6 +40,15 @@ class Vocabulary:
     payment_method: tuple[str, ...] = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     customer_segment: tuple[str, ...] = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
+    @classmethod
+    def load(cls, path: str) -> Vocabulary:
+        """From a JSON file of lists by column; columns that it leaves out keep theirs."""
+        found = json.loads(Path(path).read_text()) if path else {}
+        unknown = set(found) - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
+        return cls(**{k: tuple(v) for k, v in found.items()})
+
 
 #: Region and territory, for every region of the data.
 TERRITORIES = (("AFRICA", "Territory 1"), ("AMERICA", "Territory 1"), ("ASIA", "Territory 2"), ("EUROPE", "Territory 2"), ("MIDDLE EAST", "Territory 3"))

@@ -1,5 +1,6 @@
 """Sources, sinks, catalog, plans, orchestration, streaming."""
 
+import dataclasses
 import logging
 
 import pytest
@@ -9,7 +10,7 @@ import __spark_entry__
 from tallyforge import pipeline, session
 from tallyforge.plans import catalog, pairs
 from tallyforge.sources import readers, sinks
-from tallyforge.sources.schema import SchemaValidationError, raw_schema, validate_schema
+from tallyforge.sources.schema import TERRITORIES, SchemaValidationError, raw_schema, validate_schema
 from tallyforge.streaming import revenue
 from tests.factories import raw
 
@@ -48,9 +49,9 @@ def test_formats(spark, tmp_path):
     df = readers.region_dimension(spark)
     for kind in ("parquet", "orc", "json"):
         sinks.write_table(df, str(tmp_path / kind), kind)
-        assert readers.read_table(spark, str(tmp_path / kind), kind).count() == 4
+        assert readers.read_table(spark, str(tmp_path / kind), kind).count() == len(TERRITORIES)
     sinks.write_table(df, str(tmp_path / "parquet"), mode="append")
-    assert readers.read_table(spark, str(tmp_path / "parquet")).count() == 8
+    assert readers.read_table(spark, str(tmp_path / "parquet")).count() == 2 * len(TERRITORIES)
     with pytest.raises(ValueError):
         readers.read_table(spark, str(tmp_path), "xml")
 
@@ -100,6 +101,52 @@ def test_orchestration():
     assert pipeline.main(["--dry-run"]) == 0
 
 
+def test_stages_in_processes_of_their_own():
+    done = lambda name: pipeline.Result(name, "errored" if name == "b" else "success")
+    assert [r.status for r in pipeline.run(None, session.Settings(), ["a", "b", "c"], stages={}, apart=done)] == ["success", "errored", "skipped"]
+    assert pipeline.run_apart("ingest", python="/no/such/python").status == "errored"
+    failed = pipeline.run_apart("nothing")  # an unknown stage
+    assert failed.status == "failed" and failed.error == "exit code 1"
+
+
+def test_a_query_is_counted_and_timed(spark):
+    catalog.register_views(spark, {"transactions": readers.transactions(spark, SF), "region_dim": readers.region_dimension(spark)})
+    df, rows, seconds = catalog.run_query(spark, catalog.catalog()["regional_category_breakdown"], preview=2)
+    assert rows == df.count() > 0 and seconds > 0
+
+
+def test_environments(tmp_path, monkeypatch):
+    file = tmp_path / "s.json"
+    file.write_text('{"out": "/a", "environment": "here", "environments": {"here": {"top_n": 3}, "there": {"out": "/b"}}}')
+    assert session.Settings.load(str(file)).top_n == 3
+    assert session.Settings.load(str(file), "there").out == "/b"
+    monkeypatch.setenv("TALLYFORGE_ENVIRONMENT", "there")
+    assert session.Settings.load(str(file)) == session.Settings(out="/b")
+    with pytest.raises(ValueError, match="here, there"):
+        session.Settings.load(str(file), "nowhere")
+
+
+def test_settings_reach_the_stages(spark, tmp_path):
+    """Each setting of the cleanser changes what its stage writes, and the tables share one base dataset."""
+    words = tmp_path / "words.json"
+    words.write_text('{"region": ["Asia Pacific", "AFRICA"]}')
+    base = session.Settings(out=str(tmp_path / "0"))
+    pipeline.ingest(spark, base)
+    found = {}
+    for name, change in {"none": {}, "ages": {"age_min": 30, "age_max": 60}, "factor": {"iqr_factor": 0.1}, "words": {"vocabulary": str(words)}}.items():
+        s = dataclasses.replace(base, **change)
+        pipeline.cleanse(spark, s)
+        rows = readers.read_table(spark, f"{s.out}/cleansed")
+        found[name] = (rows.agg(F.min("customer_age"), F.max("customer_age")).first(), rows.agg(F.max("total_amount")).first()[0], {r.region for r in rows.select("region").distinct().collect()})
+    assert found["none"][0] == (18, 80) and found["ages"][0] == (30, 60)
+    assert found["factor"][1] < found["none"][1]
+    assert "ASIA" in found["none"][2] and "ASIA" not in found["words"][2] and "AFRICA" in found["words"][2]
+    pipeline.transform(spark, dataclasses.replace(base, partitions=3))
+    shared = readers.read_table(spark, f"{base.out}/base")
+    assert {"sales_territory", "purchase_year_month"} <= set(shared.columns)
+    assert readers.read_table(spark, f"{base.out}/daily_revenue").agg(F.sum("num_transactions")).first()[0] == shared.filter("purchase_date is not null").count()
+
+
 def test_settings(tmp_path, monkeypatch):
     file = tmp_path / "s.json"
     file.write_text('{"churn_days": 30, "out": "/x"}')
