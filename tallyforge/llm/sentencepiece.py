@@ -33,7 +33,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Memo sizes in entries; what a full memo forgets costs time only.
-SEGMENTS, PAIRS = 400_000, 500_000
+SEGMENTS, PAIRS = 150_000, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -255,11 +255,57 @@ class Codec:
             end -= size[end - done]
         return steps[::-1]
 
+    def _whole(self, text: str) -> list[int]:
+        """The pieces of a BPE stretch that fits into the window: nothing is committed before its end. A character
+        without a piece is less than zero: its end, negated."""
+        fits, trie, longest, total = self._pairs, self.model.trie, self.model.longest, len(text)
+        begin, piece_at = [0] * (total + 1), [-1] * (total + 1)
+        for j in range(total):
+            before = piece_at[j]
+            known = fits.get(before)
+            if known is None:
+                known = fits[before] = {}
+            node = trie.get(text[j])
+            if node is None:
+                begin[j + 1] = j
+                continue
+            piece, node = node
+            k = j + 1
+            last = total if total < j + longest else j + longest
+            if piece < 0:
+                begin[k] = j
+            while True:
+                if piece >= 0:
+                    fit = known.get(piece)
+                    if fit is None:
+                        fit = self._fits(known, before, piece)
+                    if fit:
+                        begin[k], piece_at[k] = j, piece
+                if k >= last:
+                    break
+                node = node.get(text[k])
+                if node is None:
+                    break
+                piece, node = node
+                k += 1
+        out, end = [], total
+        while end:
+            out.append(piece_at[end] if piece_at[end] >= 0 else -end)
+            end = begin[end]
+        out.reverse()
+        return out
+
     def _segment(self, key: str) -> bytes:
         model = self.model
         segment = key[1:] if key[0] == "\0" else key if key[0] == "\n" else MARK + key
+        if model.kind == BPE and len(segment) <= 3 * model.longest:
+            steps = [(-x, -1) if x < 0 else (0, x) for x in found] if min(found := self._whole(segment)) < 0 else None
+            if steps is None:
+                return array("i", found).tobytes()
+        else:
+            steps = self._steps(segment)
         out: list[int] = []
-        for end, piece in self._steps(segment):
+        for end, piece in steps:
             if piece >= 0:
                 out.append(piece)
             else:
