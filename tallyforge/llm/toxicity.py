@@ -4,8 +4,8 @@ Examples are the distinct texts of labelled documents outside the held-out part;
 about that many are taken by a hash of the id, and again of the text. That bound is the only sample: it keeps fitting,
 index and broadcast of fixed size. Terms are runs of letters, lower-cased, and their beginnings of three to seven letters.
 All terms of the examples count, weighted by inverse document frequency over the whole corpus and by relevance: how
-much their log odds among toxic examples exceed those among the others, less one standard error; at or below zero
-a term weighs nothing.
+much their log odds among toxic examples, less one standard error, exceed a quarter more than the odds among the others; a term that
+does not reach that weighs nothing.
 
 The index is inverted: per term, postings in blocks of ``BLOCK`` examples with the block's greatest weight. A query
 bounds each block by its weights times these maxima, visits blocks from the greatest bound down and stops when no
@@ -34,11 +34,13 @@ from tallyforge.llm.shared import held_out, sliced, written
 
 PARTS, HELD = 3, 1
 EXAMPLES = 20_000
-NEIGHBOURS, BLOCK, BINS = 25, 64, 50
+NEIGHBOURS, BLOCK = 25, 64
 CUT = 0.7
 #: Votes below this are alike.
 LEAST_VOTE = 1e-3
 PREFIXES, MEMO = (3, 4, 5, 6, 7), 150_000
+#: Log odds that a term must exceed after a standard error is taken off, and blocks that a query visits first.
+LEAST, FIRST = math.log(1.25), 8
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -101,16 +103,33 @@ class Index:
         self.toxic = np.array([e[1] for e in order], dtype=np.int64)
         self.ids = [e[2] for e in order]
         terms = np.concatenate([e[3] for e in order]) if order else np.empty(0, np.int64)
-        weights = np.concatenate([e[4] for e in order]) if order else np.empty(0)
-        where = np.repeat(np.arange(len(order)), [len(e[3]) for e in order])
+        weights = np.concatenate([e[4] for e in order]).astype(np.float32) if order else np.empty(0, np.float32)
+        where = np.repeat(np.arange(len(order), dtype=np.int32), [len(e[3]) for e in order])
         by_term = np.lexsort((where, terms))
-        terms, self.weights, self.where = terms[by_term], weights[by_term], where[by_term].astype(np.int32)
-        # Runs of postings of one term in one block: first posting, block, greatest weight; and each term's first run.
-        part = self.where // block
+        self.weights, self.where = weights[by_term], where[by_term]
+        self.terms = np.searchsorted(terms[by_term], np.arange((int(terms.max()) if len(terms) else -1) + 2)).astype(np.int32)  # each term's first posting
+        self._derive()
+
+    def _derive(self) -> None:
+        """Runs of postings of one term in one block: first posting, block, greatest weight; and each term's first run."""
+        terms, part = np.repeat(np.arange(len(self.terms) - 1), np.diff(self.terms)), self.where // self.block
         first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (part[1:] != part[:-1])])) if len(terms) else np.empty(0, np.int64)
         self.runs, self.run_block = np.append(first, len(terms)), part[first]
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
-        self.term_runs = np.searchsorted(terms[first], np.arange((int(terms[-1]) if len(terms) else -1) + 2))
+        self.term_runs = np.searchsorted(terms[first], np.arange(len(self.terms)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("runs", "run_block", "most", "term_runs", "entry_of")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._derive()
+
+    def vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vectors of all entries in a row: where each begins, terms and weights."""
+        by_entry = np.argsort(self.where, kind="stable")
+        terms = np.repeat(np.arange(len(self.terms) - 1), np.diff(self.terms))[by_entry]
+        return np.searchsorted(self.where[by_entry], np.arange(len(self.total) + 1)), terms, self.weights[by_entry].astype(np.float64)
 
     @staticmethod
     def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,34 +145,42 @@ class Index:
         have = terms < len(self.term_runs) - 1
         terms, weights = terms[have], weights[have]
         runs, whose = self._spread(self.term_runs[terms], self.term_runs[terms + 1])
-        bound = np.bincount(self.run_block[runs], weights=weights[whose] * self.most[runs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero(bound > 0))]
-        at, step, floor = 0, 8, 0.0
-        scores, entries = np.empty(0), np.empty(0, np.int64)
-        rank = np.full(self.blocks, self.blocks)
-        rank[order] = np.arange(len(order))
-        place = rank[self.run_block[runs]]  # each run's block by its bound
-        while at < len(order) and bound[order[at]] >= floor - 1e-11:
-            now = (place >= at) & (place < at + step)
-            mine, of = runs[now], whose[now]
-            postings, which = self._spread(self.runs[mine], self.runs[mine + 1])
-            fresh, inverse = np.unique(self.where[postings], return_inverse=True)
-            found = np.bincount(inverse, weights=weights[of][which] * self.weights[postings], minlength=len(fresh))
-            scores = np.concatenate([scores, np.round(found, 12)])  # so that ties do not hang on the order of sums
-            entries = np.concatenate([entries, fresh])
-            at, step = at + step, step * 4
-            best = np.lexsort((entries, -scores))
-            counts = np.cumsum(self.total[entries[best]] - (entries[best] == without))
-            full = int(np.searchsorted(counts, self.k))
-            if full < len(best):
-                floor = scores[best[full]]
-        best = np.lexsort((entries, -scores))
-        scores, entries = scores[best], entries[best]
+        weights = weights[whose]
+        blocks = self.run_block[runs]
+        bound = np.bincount(blocks, weights=weights * self.most[runs], minlength=self.blocks)
+        # First the blocks of the greatest bounds; their k-th neighbour tells which others can matter.
+        first = np.zeros(self.blocks, bool)
+        first[np.argpartition(-bound, min(FIRST, self.blocks) - 1)[:FIRST]] = True
+        entries, scores = self._scored(runs, weights, first[blocks])
+        floor = self._floor(scores)
+        more = ~first & (bound >= floor - 1e-11) & (bound > 0)
+        if more.any():
+            others, theirs = self._scored(runs, weights, more[blocks])
+            entries, scores = np.concatenate([entries, others]), np.concatenate([scores, theirs])
+            floor = self._floor(scores)
+        near = np.flatnonzero((scores >= floor) & (scores > 0))
+        entries, scores = entries[near], scores[near]
+        order = np.lexsort((entries, -scores))
+        entries, scores = entries[order], scores[order]
         counts = self.total[entries] - (entries == without)
         taken = np.minimum(counts, np.maximum(0, self.k - (np.cumsum(counts) - counts)))
         return scores[taken > 0], entries[taken > 0], taken[taken > 0]
 
+    def _scored(self, runs: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries in the wanted runs and their similarities; an entry is in one block, so it is whole."""
+        runs = runs[wanted]
+        postings, which = self._spread(self.runs[runs], self.runs[runs + 1])
+        where, found = self.where[postings], weights[wanted][which] * self.weights[postings]
+        order = np.argsort(where, kind="stable")
+        where = where[order]
+        fresh = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.empty(0, np.int64)
+        # Rounded, so that ties do not hang on the order of sums.
+        return where[fresh].astype(np.int64), np.round(np.add.reduceat(found[order], fresh), 12) if len(fresh) else np.empty(0)
+
+    def _floor(self, scores: np.ndarray) -> float:
+        """A similarity that the k-th example reaches, one of them perhaps left out; zero where there are fewer."""
+        return float(np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]) if len(scores) > self.k else 0.0
+
     def vote(self, query: tuple[np.ndarray, np.ndarray], without: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
         """The toxic neighbours' similarities over k, and the nearest entries; ``without``: the entry and the label of
         an example that is left out."""
@@ -208,11 +235,11 @@ def _frequencies(docs: DataFrame, terms) -> DataFrame:
 
 def relevance(terms: DataFrame, n: int, bad: int) -> DataFrame:
     """term and relevance of the rows (term, n, toxic) whose log odds among ``bad`` toxic of ``n`` texts exceed those
-    among the others by more than a standard error; counts are raised by one half."""
+    among the others by more than a standard error and ``LEAST``; counts are raised by one half."""
     a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     c, d = F.lit(bad + 1.0) - a, F.lit(n - bad + 1.0) - b
     odds = F.log(a) - F.log(c) - F.log(b) + F.log(d)
-    return terms.filter("toxic > 0").select("term", (odds - F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)).alias("relevance")).filter("relevance > 0")
+    return terms.filter("toxic > 0").select("term", (odds - F.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - LEAST).alias("relevance")).filter("relevance > 0")
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
@@ -235,8 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES) -> dic
     spark = docs.sparkSession
     train = examples_of(docs, labels, max_examples)
     n, bad = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    empty = {"index": None, "terms": Terms([], np.empty(0)), "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
-    if not n or not bad or bad == n:
+    empty = {"model": spark.sparkContext.broadcast((None, Terms([], np.empty(0)))), "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
+    if not n or not bad or bad == n:  # nothing to tell apart
         return empty
     told = relevance(_term_counts(train), n, bad).orderBy("term").toArrow()  # of the bounded examples
     if not told.num_rows:
@@ -246,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES) -> dic
     rows = np.zeros(len(terms.weights))
     rows[frequency["number"].to_numpy()] = frequency["n"].to_numpy()
     terms.weights = terms.weights * (np.log((docs.count() + 1) / (rows + 1)) + 1)
-    sent = spark.sparkContext.broadcast(terms)
+    sent = spark.sparkContext.broadcast(terms)  # as many strings as the examples have terms
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -262,28 +289,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES) -> dic
     rows_told = [k for k, v in enumerate(whole) if len(v[0])]
     ids = found["doc_id"].to_pylist()
     index = Index([whole[k] for k in rows_told], [toxic[k] for k in rows_told], [ids[k] for k in rows_told])
-    return {"index": index, "terms": terms, "prior": prior, "bins": _calibrated(spark, index, [whole[k] for k in rows_told], [toxic[k] for k in rows_told], bad / n)}
+    terms.known = {}
+    model = spark.sparkContext.broadcast((index, terms))
+    return {"model": model, "prior": prior, "bins": _calibrated(spark, model, len(index.total), bad / n)}
 
 
-def _calibrated(spark, index: Index, vectors: list, toxic: list[int], base: float) -> tuple[np.ndarray, np.ndarray]:
+def _calibrated(spark, model, entries: int, base: float) -> tuple[np.ndarray, np.ndarray]:
     """Votes and the toxic share there, from each example when it is left out, made monotone; worked out by the
-    executors. Only bins with examples are told."""
-    sent = spark.sparkContext.broadcast((index, vectors, toxic))
+    executors. The steps of the isotonic regression, each at its mean vote, their shares drawn a little to the base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vectors, toxic = sent.value
+        index = model.value[0]
+        starts, terms, weights = index.vectors()
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([index.vote(vectors[k], (index.entry_of[k], toxic[k]))[0] for k in rows]), pa.array([toxic[k] for k in rows])], names=["vote", "toxic"])
-
-    votes = spark.range(0, len(vectors), 1, max(1, len(vectors) // 500)).mapInArrow(run, "vote double, toxic long").toArrow()
-    place = np.minimum((votes["vote"].to_numpy() * BINS + 1e-9).astype(np.int64), BINS)
-    total = np.bincount(place, minlength=BINS + 1).astype(float)
-    hit = np.bincount(place, weights=votes["toxic"].to_numpy(), minlength=BINS + 1)
-    mean = np.bincount(place, weights=votes["vote"].to_numpy(), minlength=BINS + 1)
-    some = total > 0
-    rate = (hit[some] + 0.5 * base) / (total[some] + 0.5)
-    return mean[some] / total[some], _monotone(rate, total[some] + 0.5)
+            found = []
+            for k in batch.column(0).to_pylist():
+                query = slice(starts[k], starts[k + 1])
+                for label, n in ((1, int(index.toxic[k])), (0, int(index.total[k] - index.toxic[k]))):
+                    if n:
+                        found.append((index.vote((terms[query], weights[query]), (k, label))[0], label, n))
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))], names=["vote", "toxic", "n"])
+
+    votes = spark.range(0, entries, 1, max(1, entries // 500)).mapInArrow(run, "vote double, toxic long, n long").toArrow()
+    vote, n = np.round(votes["vote"].to_numpy(), 9), votes["n"].to_numpy().astype(float)
+    levels, level = np.unique(vote, return_inverse=True)
+    total, hit = np.bincount(level, weights=n), np.bincount(level, weights=n * votes["toxic"].to_numpy())
+    rates = _monotone(hit / total, total)  # isotonic: levels with one rate are one step
+    step = np.cumsum(np.concatenate([[0], rates[1:] != rates[:-1]])) if len(rates) else np.empty(0, np.int64)
+    count, hits, mean = (np.bincount(step, weights=w) for w in (total, hit, total * levels))
+    return mean / count, (hits + 0.5 * base) / (count + 0.5)
 
 
 def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -307,23 +341,30 @@ def calibrated(vote: float, bins: tuple[np.ndarray, np.ndarray]) -> float:
 
 def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of up to three nearest examples) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+    fitted = fit(docs, labels, **bounds)
+    model, prior, bins = fitted["model"], fitted["prior"], fitted["bins"]
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        index, terms, bins = fitted["index"], fitted["terms"], fitted["bins"]
+        index, terms = model.value
+        memo: dict[bytes, tuple[float, list]] = {}  # copies are many
         for batch in sliced(batches, "text"):
             scores, evidence = [], []
             for text in batch.column(1):
                 vector = terms.vector(text.as_py())
-                if len(vector[0]):
-                    vote, near = index.vote(vector)
-                    scores.append(calibrated(vote, bins))
-                    evidence.append([index.ids[e] for e in near[:3]])
-                else:
-                    scores.append(fitted["prior"])
-                    evidence.append([])
+                key = vector[0].tobytes() + vector[1].tobytes()
+                found = memo.get(key)
+                if found is None:
+                    if len(memo) >= 5_000:
+                        memo.clear()
+                    if len(vector[0]):
+                        vote, near = index.vote(vector)
+                        found = calibrated(vote, bins), [index.ids[e] for e in near[:3]]
+                    else:
+                        found = prior, []
+                    memo[key] = found
+                scores.append(found[0])
+                evidence.append(found[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(batch.column(0).type))], names=["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double, evidence array<{kind.simpleString()}>")

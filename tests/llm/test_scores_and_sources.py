@@ -136,11 +136,14 @@ def test_block_max_search_is_exact():
     index = toxicity.Index(vectors, toxic, list(range(700)), k=10, block=16)
     dense = np.zeros((700, 40))
     for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
+        dense[k, t] = w.astype(np.float32)  # as the index holds them
+    query = np.zeros((700, 40))
+    for k, (t, w) in enumerate(vectors):
+        query[k, t] = w
     entry = np.array(index.entry_of)
     for q in range(60):
         for left_out in (False, True):
-            near = dense @ dense[q]
+            near = dense @ query[q]
             rows = [k for k in range(700) if near[k] > 1e-12 and not (left_out and k == q)]
             # Entries in order of similarity, then number; of the last one, its share of toxic examples.
             rows.sort(key=lambda k: (-round(near[k], 9), entry[k]))
@@ -173,7 +176,7 @@ def test_scores_follow_the_brute_force_cosine_vote(spark):
     for f, a in ill.items():
         a, b = a + 0.5, held[f] - ill[f] + 0.5
         c, d = bad + 1 - a, n - bad + 1 - b
-        x = math.log(a * d / (b * c)) - math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        x = math.log(a * d / (b * c)) - math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - math.log(1.25)
         if x > 0:
             weight[f] = x * (math.log((len(rows) + 1) / (everywhere[f] + 1)) + 1)
 
