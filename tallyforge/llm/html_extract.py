@@ -4,8 +4,8 @@ A page's tokens are its elements, each told by its path from the root with the c
 the words of its text, each told by the path of the block element it stands in and by how often that block held the
 word before. Over the pages of a host every token has an occurrence vector: how often it stands on each page.
 Tokens with the same vector form an equivalence class. A class is valid if it stands on at least ``SUPPORT`` of the
-host's pages and its words under one path come in the same order on all of them; its words nest in the class of the element around them,
-or stand once on each page. Valid classes make the host's template. A block whose words are all of one class of it is
+host's pages; its words nest in the class of the element around them or stand once on each page, and each follows the
+same word of its block on all pages, so that they come in one order. Valid classes make the host's template. A block whose words are all of one class of it is
 template text and left out: menus, headers, footers, notices and labels, whatever they are called. A block with any other
 word is a slot and kept whole, so that a label stays with its value.
 
@@ -14,9 +14,9 @@ added up over the host: the main slots are those within the deepest container th
 links, so menus, adverts, headers and footers that differ on every page go with the rest of the tree, whatever they are called;
 a container that is mostly links is a menu within it too. All other slots there are extracted.
 
-Vectors are compared by fingerprint, the exclusive or of a hash of page and count, and orders by the hash of a page's
-words of a class, so that a host's pages are never gathered. Words are counted in two passes: what stands on
-``SUPPORT`` of a host's pages stands on as many of its pages in some batch, so only what does is counted over all pages.
+Vectors are compared by fingerprint, the exclusive or of a hash of page and count, and orders by the hash of the word
+before, so that a host's pages are never gathered. Words are counted in two passes: what stands on ``SUPPORT`` of a
+host's pages stands on as many of its pages in some part of them, so only what does is counted over all pages.
 
 Names settle what a template cannot tell. Scripts, styles, forms and the like are no text; within the main slots,
 adverts, asides, reader comments and links to other pages are left out by element name, role, class or id
@@ -33,6 +33,7 @@ whatever their names, are ignored. Pages are read in slices of bounded size, lon
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +49,8 @@ from tallyforge.llm.shared import BROADCAST_BYTES, BROADCAST_ROWS, join_small, s
 SUPPORT = 0.5
 #: Fewest different pages of a host that tell template from text.
 LEAST_PAGES = 4
+#: Tokens that a task holds before it tells the frequent ones.
+HELD = 1_500_000
 #: Share of a host's words outside links that the main slots hold, and of a menu's words that are links.
 MASS, LINKS = 0.6, 2 / 3
 
@@ -77,6 +80,8 @@ CHROME_WORDS = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Attributes that count.
+TELLING = re.compile(r"class|id|role|hidden|itemprop", re.I)
 CONTAINERS = frozenset("div section article main aside nav header footer body ul ol table form".split())
 
 
@@ -107,6 +112,22 @@ def _told(name: str, attributes: dict[str, str]) -> int:
     return ASIDE if SLOT_WORDS.search(names) else max(told, SHARED) if CHROME_WORDS.search(names) else told
 
 
+@functools.lru_cache(20_000)
+def _element(name: str, raw: str) -> tuple[str, bool, int]:
+    """An element's own part of the path, whether names tell it to be main, and what else they tell."""
+    attributes = _attributes(raw)
+    own = name
+    if name in CONTAINERS and (attributes.get("class") or attributes.get("id")):
+        own += "." + re.sub(r"\d+", "0", " ".join(f"{attributes.get('class', '')}#{attributes.get('id', '')}".split()))
+    by_name = name in MAIN or attributes.get("role", "").lower() in MAIN_ROLES or attributes.get("itemprop", "") == "articleBody"
+    return own, by_name, _told(name, attributes)
+
+
+@functools.lru_cache(50_000)
+def _below(path: str, own: str) -> str:
+    return xxhash.xxh3_64_hexdigest(f"{path}/{own}")
+
+
 def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str] = frozenset()) -> Iterator[tuple[str, object]]:
     """("open", path), ("break", None), ("text", (block, text, told, in_main)) in page order, and ("region", (path, words,
     links, depth)) for each container that ends and at last for the page, with the words in all of it.
@@ -182,15 +203,11 @@ def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str]
                 if stack[k][0] in SIBLINGS[name]:
                     yield from close(k)
                     break
-        attributes = _attributes(found[3])
-        own = name
-        if name in CONTAINERS and (attributes.get("class") or attributes.get("id")):
-            own += "." + re.sub(r"\d+", "0", " ".join(f"{attributes.get('class', '')}#{attributes.get('id', '')}".split()))
+        own, by_name, own_told = _element(name, found[3] if TELLING.search(found[3]) else "")
         above = stack[-1] if stack else outside
-        path = xxhash.xxh3_64_hexdigest(f"{above[1]}/{own}")
-        by_name = name in MAIN or attributes.get("role", "").lower() in MAIN_ROLES or attributes.get("itemprop", "") == "articleBody"
+        path = _below(above[1], own)
         main = above[3] or (by_name if region is None else path == region)
-        told = max(above[2], ASIDE if path in menus else _told(name, attributes))
+        told = max(above[2], ASIDE if path in menus else own_told)
         if found[3].endswith("/") and name not in INLINE and name in ("svg", "path"):
             continue
         block = above[4]
@@ -219,9 +236,10 @@ def _tokens(blocks: dict[tuple[int, str], list[str]]) -> Iterator[tuple[tuple[in
         yield block, [f"{block[1]}\t{w}" if j == 0 else f"{block[1]}\t{w}\t{j}" for w, n in words.items() for j in range(n)]
 
 
-def outline(html: str | None) -> tuple[dict[str, Counter], dict[str, list[int]]]:
-    """How often each token stands on a page, by path: "" for the element, and the words of what may be text; and the
-    words, links and depth of each container, and of the page as the path "", which counts as an element too."""
+def outline(html: str | None) -> tuple[dict[str, Counter], dict[str, list[int]], list[tuple[str, list[str]]]]:
+    """How often each token stands on a page, by path: "" for the element, and the words of what may be text; the
+    words, links and depth of each container, and of the page as the path "", which counts as an element too; and the
+    path and distinct words of each block, in order."""
     found: dict[str, Counter] = {"": Counter({"": 1})}
     regions: dict[str, list[int]] = {}
     blocks: dict[tuple[int, str], list[str]] = {}
@@ -238,12 +256,14 @@ def outline(html: str | None) -> tuple[dict[str, Counter], dict[str, list[int]]]
         elif kind == "text" and value[2] < ASIDE:
             blocks.setdefault(value[0], []).append(f" {value[1]}" if broken else value[1])
             broken = False
+    lines = []
     for (_, path), parts in blocks.items():
         words = Counter("".join(parts).split())
+        lines.append((path, list(words)))
         at = found.setdefault(path, Counter())
         at.update(words.keys())
         at.update(f"{w}\t{j}" for w, n in words.items() if n > 1 for j in range(1, n))
-    return found, regions
+    return found, regions, lines
 
 
 class Template:
@@ -296,16 +316,6 @@ def extract(html: str | None, template: Template | None) -> str:
     return " ".join(out)
 
 
-def orders(html: str | None, words: dict[str, int]) -> dict[tuple[str, int], int]:
-    """For each path and class of template words on a page, the hash of its words in page order."""
-    found: dict[tuple[str, int], list[str]] = {}
-    for (_, path), tokens in _tokens(_texts(html, SHARED)[1]):
-        for t in tokens:
-            if t in words:
-                found.setdefault((path, words[t]), []).append(t)
-    return {k: xxhash.xxh3_64_intdigest("\n".join(v).encode()) - (1 << 63) for k, v in found.items()}
-
-
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -318,29 +328,43 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     able = join_small(pages.select("host", "html"), sizes, ["host"], "inner").select("host", "html")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        found: dict[tuple[str, str], Counter] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(name, f"{path}\t{t}") for (name, path), tokens in found.items() for t, n in tokens.items() if n >= support * seen[name]]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", "token"])
+
         for batch in sliced(batches, "html"):
-            seen: Counter = Counter()
-            found: dict[tuple[str, str], Counter] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[name] += 1
                 for path, tokens in outline(html)[0].items():
-                    found.setdefault((name, path), Counter()).update(tokens.keys())
-            rows = [(name, f"{path}\t{t}") for (name, path), tokens in found.items() for t, n in tokens.items() if n >= support * seen[name]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", "token"])
+                    held = found.setdefault((name, path), Counter())
+                    size -= len(held)
+                    held.update(tokens.keys())
+                    size += len(held)
+            if size > HELD:
+                yield out()
+                seen.clear()
+                found.clear()
+                size = 0
+        yield out()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
             found: dict[tuple, list] = {}
+            hashes: dict[str, int] = {}
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = xxhash.xxh3_64_intdigest((html or "").encode())
                 prints: dict[int, int] = {}
-                tokens_at, regions = outline(html)
+                tokens_at, regions, lines = outline(html)
                 for path, tokens in tokens_at.items():
                     for t in tokens if wanted is None else tokens.keys() & wanted.get((name, path), nothing):
                         n = tokens[t]
                         if n not in prints:
                             prints[n] = xxhash.xxh3_64_intdigest(f"{page}:{n}".encode())
-                        row = found.setdefault((name, f"{path}\t{t}"), [0, 0, 0, 0, 0, 0])
+                        row = found.setdefault((name, f"{path}\t{t}"), [0, 0, 0, 0, 0, 0, None, None])
                         row[0] += 1
                         row[1] += n == 1
                         row[2] ^= prints[n]
@@ -348,11 +372,21 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
                             row[3] += regions[path][0]
                             row[4] += regions[path][1]
                             row[5] = regions[path][2] + 1
+                for path, words in lines:  # the word before each: the same on all pages where they come in order
+                    known = None if wanted is None else wanted.get((name, path), nothing)
+                    for before, w in zip(["", *words], words):
+                        if known is None or w in known:
+                            row = found[name, f"{path}\t{w}"]
+                            h = hashes.get(before)
+                            if h is None:
+                                h = hashes[before] = xxhash.xxh3_64_intdigest(before.encode()) - (1 << 63)
+                            row[6], row[7] = (h, h) if row[6] is None else (min(row[6], h), max(row[7], h))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string())]
                 + [pa.array([v[j] for v in found.values()], pa.int64()) for j in (0, 1, 3, 4, 5)]
-                + [pa.array([v[2] - (1 << 64) if v[2] >> 63 else v[2] for v in found.values()], pa.int64())],
-                names=["host", "token", "pages", "once", "words", "links", "depth", "vector"],
+                + [pa.array([v[2] - (1 << 64) if v[2] >> 63 else v[2] for v in found.values()], pa.int64())]
+                + [pa.array([v[j] for v in found.values()], pa.int64()) for j in (6, 7)],
+                names=["host", "token", "pages", "once", "words", "links", "depth", "vector", "low", "high"],
             )
 
     candidates = written(able.mapInArrow(frequent, "host string, token string").distinct())
@@ -364,10 +398,10 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
         for name, token in candidates.toLocalIterator():
             path, _, t = token.partition("\t")
             wanted.setdefault((name, path), set()).add(t)
-    tokens = able.mapInArrow(counted, "host string, token string, pages long, once long, words long, links long, depth long, vector long")
+    tokens = able.mapInArrow(counted, "host string, token string, pages long, once long, words long, links long, depth long, vector long, low long, high long")
     if wanted is None:
         tokens = tokens.join(candidates, ["host", "token"], "left_semi")
-    tokens = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "words", "links")], F.max("depth").alias("depth"), F.bit_xor("vector").alias("vector"))
+    tokens = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "words", "links")], F.max("depth").alias("depth"), F.bit_xor("vector").alias("vector"), F.min("low").alias("low"), F.max("high").alias("high"))
     tokens = written(tokens.withColumn("path", F.substring_index("token", "\t", 1)).withColumn("is_word", F.length("token") > F.length("path") + 1))
     valid = join_small(tokens, sizes, ["host"], "inner").filter(F.col("pages") >= support * F.col("n")).drop("n")
     # The template's tree: containers that stand once on each page, with the text that they hold on all of them.
@@ -380,25 +414,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     # Words nest in the class of the element around them, or stand once on each page of their own class.
     around = valid.filter("not is_word").select("host", "path", F.col("vector").alias("element"))
     words = valid.filter("is_word").join(around, ["host", "path"], "left").filter((F.col("once") == F.col("pages")) | F.col("vector").eqNullSafe(F.col("element")))
-    found = written(_by_host(tree, words.select("host", "token", "vector")))
-
-    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "html"):
-            names = batch.column(0).to_pylist()
-            known = _known(names, *batch.columns[2:])
-            least: dict[tuple[str, str, int], list[int]] = {}
-            for name, html in zip(names, batch.column(1).to_pylist()):
-                for (path, k), h in orders(html, known[name].words).items():
-                    both = least.setdefault((name, path, k), [h, h])
-                    both[:] = min(both[0], h), max(both[1], h)
-            columns = [pa.array([x[j] for x in least], kind) for j, kind in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))]
-            columns += [pa.array([x[j] for x in least.values()], pa.int64()) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "vector", "low", "high"])
-
-    seen = join_small(able, found, ["host"], "inner").select("host", "html", "tokens", "classes", "region", "menus").mapInArrow(in_order, "host string, path string, vector long, low long, high long")
-    same = ["host", "path", "vector"]
-    ordered = seen.groupBy(*same).agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low = high").select(*same)
-    return written(_by_host(tree, words.select("token", *same).join(ordered, same, "left_semi").drop("path")))
+    return written(_by_host(tree, words.filter("low = high").select("host", "token", "vector")))
 
 
 def _by_host(tree: DataFrame, words: DataFrame) -> DataFrame:

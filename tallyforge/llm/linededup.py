@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import written
 
 WINDOW, DIVISOR, LONG = 2, 3, 50
+#: Copies of a chunk that are compared with the first one in one part.
+HOT = 20_000
 
 
 def _chunks(window: int, divisor: int, long: int) -> str:
@@ -61,14 +63,22 @@ def _units(window: int, divisor: int, long: int) -> str:
 
 def removals(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
     """doc_id, th (hash of the text) and gone (places of the lines to remove) of the documents that lose lines."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.expr(_units(window, divisor, long))).alias("c"))
-    each = keyed.select("doc_id", "th", F.col("c.from").alias("at"), F.col("c.to").alias("upto"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("hash"))
+    units = F.expr(f"transform({_units(window, divisor, long)}, c -> struct(xxhash64(c.text) as hash, c.from as at, c.to as upto))")
+    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(units).alias("c")).select("doc_id", "th", "c.hash", "c.at", "c.upto")
     place = F.struct("doc_id", "th", "at", "upto")
     again = each.select("hash", place.alias("place")).groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    again = written(again.filter("n > 1").select("hash", "first"))
-    repeated = written(each.join(again, "hash").withColumn("is_first", F.struct("doc_id", "th", "at", "upto").eqNullSafe(F.col("first"))).drop("first"))
-    first = repeated.filter("is_first").groupBy("hash").agg(F.first("chunk").alias("first_chunk"))
-    same = repeated.filter("not is_first").join(first, "hash").filter(F.col("chunk") == F.col("first_chunk"))
+    again = written(again.filter("n > 1").select("hash", "first", F.ceil(F.col("n") / F.lit(HOT)).cast("int").alias("parts")))
+    # Hashes and places only so far; the text comes from the documents that hold what is repeated.
+    repeated = each.join(again, "hash").select("doc_id", "th", F.struct("hash", "at", "upto", "parts", place.eqNullSafe(F.col("first")).alias("is_first")).alias("u"))
+    of_doc = repeated.groupBy("doc_id", "th").agg(F.collect_list("u").alias("u")).withColumnsRenamed({"doc_id": "of_id", "th": "of_th"})
+    lines = "transform(array(split(text, '\n', -1)), l -> transform(u, x -> struct(x as u, array_join(slice(l, x.at + 1, x.upto - x.at + 1), '\n') as chunk)))[0]"
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(of_doc, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
+    held = written(held.select("doc_id", "th", F.explode(F.expr(lines)).alias("c")).select("doc_id", "th", "c.u.*", "c.chunk"))
+    # A chunk with very many copies is dealt into parts, each with the first one's text.
+    first = held.filter("is_first").groupBy("hash").agg(F.first("chunk").alias("first_chunk"), F.max("parts").alias("parts"))
+    first = first.select("hash", "first_chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = held.filter("not is_first").withColumn("part", F.pmod(F.xxhash64("doc_id", "th", "at"), F.col("parts")).cast("int"))
+    same = others.join(first, ["hash", "part"]).filter(F.col("chunk") == F.col("first_chunk"))
     return same.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", "upto")))).alias("gone"))
 
 

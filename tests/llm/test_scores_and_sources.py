@@ -228,7 +228,12 @@ def test_template_against_brute_force_classes(spark):
             for t, n in tokens.items():
                 vectors.setdefault((path, t), {})[k] = n
     elements = {path: v for (path, t), v in vectors.items() if not t}
-    valid = {x: v for x, v in vectors.items() if x[1] and len(v) >= 0.5 * len(pages) and (set(v.values()) == {1} or v == elements[x[0]])}
+    before = {}
+    for html in pages:
+        for path, line in html_extract.outline(html)[2]:
+            for x, w in zip([None, *line], line):
+                before.setdefault((path, w), set()).add(x)
+    valid = {x: v for x, v in vectors.items() if x[1] and len(v) >= 0.5 * len(pages) and (set(v.values()) == {1} or v == elements[x[0]]) and len(before[x]) == 1}
     want = {frozenset(f"{p}\t{t}" for (p, t), v in valid.items() if v == one) for one in valid.values()}
     found = {}
     for token, c in zip(row.tokens, row.classes):

@@ -175,6 +175,60 @@ def test_repeated_chunks_go_but_the_first(spark):
     assert out[11].text == "head 1\ntail 1" and out[12].text == "head 2\ntail 2"
 
 
+def brute_dedup(rows):
+    """Lines removed of each (doc_id, text), from the definition: rolling hashes, pairs of lines, first occurrences."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_text = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    places = {}
+    for i, text in {(i, t) for i, t in rows if t is not None}:
+        lines = text.split("\n")
+        h, big = [of_text(x) for x in lines], [x.count(" ") >= linededup.LONG - 1 for x in lines]
+        units, start = set(), 0
+        for k in range(len(lines)):
+            rolling = 42
+            for x in (h[k], h[max(k - 1, 0)]):
+                rolling = xxhash.xxh64_intdigest(struct.pack("<q", x), rolling)
+            nxt = min(k + 1, len(lines) - 1)
+            if k == len(lines) - 1 or big[k] or big[nxt] or signed(rolling) % linededup.DIVISOR == 0:
+                if big[k] or sum(x.strip(" ") != "" for x in lines[start : k + 1]) >= 2:
+                    units.add((start, k))
+                start = k + 1
+        units |= {(k, k + 1) for k in range(len(lines) - 1) if lines[k].strip(" ") and lines[k + 1].strip(" ")}
+        for a, b in units:
+            places.setdefault("\n".join(lines[a : b + 1]), []).append((i, of_text(text), a, b, text))
+    gone = {}
+    for found in places.values():
+        for i, _, a, b, text in sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:4]))[1:]:
+            gone.setdefault((i, text), set()).update(range(a, b + 1))
+    return gone
+
+
+def test_line_dedup_is_the_brute_force_one_and_finds_what_repeats(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 3)  # chunks with many copies in several parts
+    rng = random.Random(8)
+    passages = [[prose(900 + p, rng.randint(3, 12)) for _ in range(n)] for p, n in enumerate((1, 2, 2, 3, 5, 8, 12))] + [[prose(950, 70)]]
+    rows = []
+    for k in range(60):
+        lines = [prose(k * 100 + j, rng.randint(1, 9)) if rng.random() > 0.1 else "" for j in range(rng.randint(0, 9))]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(lines))
+            lines[at:at] = rng.choice(passages)
+        rows.append((k, "\n".join(lines)))
+    rows += [(3, rows[3][1]), (70, None), (None, "\n".join(passages[4])), (71, "x" * 200_000 + "\n" + "y " * 100), (72, "\n" * 500)]
+    out = linededup.dedup(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    gone = brute_dedup(rows)
+    want = sorted((i is not None, i or 0, "" if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ()))) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in out) == want
+    # Of repeated pairs of lines, all go but the first: what is left of them is one each.
+    pairs = collections.Counter(p for i, t in {(i, t) for i, _, t in want} for p in set(zip(t.split("\n"), t.split("\n")[1:])) if all(x.strip() for x in p))
+    planted = [p for passage in passages for p in zip(passage, passage[1:])]
+    assert len(planted) > 20 and sum(pairs[p] > 1 for p in planted) == 0
+
+
 def test_chunks_are_whole_and_resist_shifts(spark):
     lines = [f"line {k} {k * k}" for k in range(200)]
     chunk = linededup._chunks(linededup.WINDOW, linededup.DIVISOR, linededup.LONG)
