@@ -128,6 +128,11 @@ def _below(path: str, own: str) -> str:
     return xxhash.xxh3_64_hexdigest(f"{path}/{own}")
 
 
+@functools.cache
+def _end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
 def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str] = frozenset()) -> Iterator[tuple[str, object]]:
     """("open", path), ("break", None), ("text", (block, text, told, in_main)) in page order, and ("region", (path, words,
     links, depth)) for each container that ends and at last for the page, with the words in all of it.
@@ -141,7 +146,7 @@ def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str]
     outside = ("", "", TEXT, False, (0, ""))
     held = [[0, 0]]  # words and links so far, of the page and of each open element
     opened: Counter = Counter()
-    at, size, blocks = 0, len(html), 0
+    at, size, blocks, search = 0, len(html), 0, TOKEN.search
 
     def close(upto: int) -> Iterator[tuple[str, object]]:
         while len(stack) > upto:
@@ -155,31 +160,44 @@ def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str]
             if name not in INLINE:
                 yield "break", None
 
-    def text(raw: str) -> Iterator[tuple[str, object]]:
-        if raw:
-            _, _, told, main, block = stack[-1] if stack else outside
-            plain = unescape(raw)
-            if told < ASIDE:
-                n = len(plain.split())
-                held[-1][0] += n
-                held[-1][1] += n if opened["a"] else 0
-            yield "text", (block, plain, told, main)
+    def text(raw: str) -> tuple[str, object]:
+        _, _, told, main, block = stack[-1] if stack else outside
+        plain = unescape(raw) if "&" in raw else raw
+        if told < ASIDE:
+            n = len(plain.split())
+            last = held[-1]
+            last[0] += n
+            if opened["a"]:
+                last[1] += n
+        return "text", (block, plain, told, main)
 
     while at < size:
-        found = TOKEN.search(html, at)
+        found = search(html, at)
         if found is None:
-            yield from text(html[at:])
+            yield text(html[at:])
             break
-        yield from text(html[at : found.start()])
+        begin = found.start()
+        if begin > at:
+            yield text(html[at:begin])
         at = found.end()
-        name = (found[2] or "").lower()
+        closing, name, rest = found.groups("")
         if not name:
             continue
-        if found[1]:
+        name = name.lower()
+        if closing:
             if not opened[name]:
                 if name in ("p", "br"):
                     yield "break", None
                 continue
+            if stack[-1][0] == name and name not in CONTAINERS:  # the usual case
+                stack.pop()
+                opened[name] -= 1
+                words, links = held.pop()
+                held[-1][0] += words
+                held[-1][1] += links
+                if name not in INLINE:
+                    yield "break", None
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     yield from close(k)
@@ -203,12 +221,12 @@ def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str]
                 if stack[k][0] in SIBLINGS[name]:
                     yield from close(k)
                     break
-        own, by_name, own_told = _element(name, found[3] if TELLING.search(found[3]) else "")
+        own, by_name, own_told = _element(name, rest if rest and TELLING.search(rest) else "")
         above = stack[-1] if stack else outside
         path = _below(above[1], own)
         main = above[3] or (by_name if region is None else path == region)
         told = max(above[2], ASIDE if path in menus else own_told)
-        if found[3].endswith("/") and name not in INLINE and name in ("svg", "path"):
+        if name in ("svg", "path") and rest.endswith("/"):
             continue
         block = above[4]
         if name not in INLINE:
@@ -219,10 +237,10 @@ def walk(html: str, region: str | None = None, menus: frozenset[str] | set[str]
         opened[name] += 1
         yield "open", path
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = _end(name).search(html, at)
             upto = end.start() if end else size
-            if name in ("title", "textarea"):
-                yield from text(html[at:upto])
+            if name in ("title", "textarea") and upto > at:
+                yield text(html[at:upto])
             at = end.end() if end else size
             yield from close(len(stack) - 1)
     yield from close(0)
@@ -236,34 +254,61 @@ def _tokens(blocks: dict[tuple[int, str], list[str]]) -> Iterator[tuple[tuple[in
         yield block, [f"{block[1]}\t{w}" if j == 0 else f"{block[1]}\t{w}\t{j}" for w, n in words.items() for j in range(n)]
 
 
-def outline(html: str | None) -> tuple[dict[str, Counter], dict[str, list[int]], list[tuple[str, list[str]]]]:
+def outline(html: str | None, known: dict[str, set[str]] | None = None) -> tuple[dict[str, Counter], dict[str, list[int]], dict[tuple[str, str], str]]:
     """How often each token stands on a page, by path: "" for the element, and the words of what may be text; the
-    words, links and depth of each container, and of the page as the path "", which counts as an element too; and the
-    path and distinct words of each block, in order."""
+    words, links and depth of each container, and of the page as the path "", which counts as an element too; and by
+    path the word before each word where a block has it first, several joined. ``known``: the only tokens, by path, that count."""
     found: dict[str, Counter] = {"": Counter({"": 1})}
     regions: dict[str, list[int]] = {}
     blocks: dict[tuple[int, str], list[str]] = {}
+    before: dict[tuple[str, str], str] = {}
     broken = False
     for kind, value in walk(html or ""):
         if kind == "open":
-            found.setdefault(value, Counter())[""] += 1
+            held = found.get(value)
+            if held is None:
+                held = found[value] = Counter()
+            held[""] += 1
         elif kind == "region":
             held = regions.setdefault(value[0], [0, 0, value[3]])
             held[0] += value[1]
             held[1] += value[2]
         elif kind == "break":
             broken = True
-        elif kind == "text" and value[2] < ASIDE:
+        elif value[2] < ASIDE and (known is None or value[0][1] in known):
             blocks.setdefault(value[0], []).append(f" {value[1]}" if broken else value[1])
             broken = False
-    lines = []
     for (_, path), parts in blocks.items():
-        words = Counter("".join(parts).split())
-        lines.append((path, list(words)))
+        words = "".join(parts).split()
         at = found.setdefault(path, Counter())
-        at.update(words.keys())
-        at.update(f"{w}\t{j}" for w, n in words.items() if n > 1 for j in range(1, n))
-    return found, regions, lines
+        if known is None:
+            times = Counter(words)
+            at.update(times.keys())
+            at.update(f"{w}\t{j}" for w, n in times.items() if n > 1 for j in range(1, n))
+            continue
+        wanted, seen, last = known[path], Counter(), ""
+        for w in words:
+            if w in wanted:
+                n = seen[w]
+                seen[w] = n + 1
+                at[f"{w}\t{n}" if n else w] += 1
+                if not n:
+                    before[path, w] = last if before.get((path, w), last) == last else f"{before[path, w]} {last}"
+            last = w
+    return found, regions, before
+
+
+class _Every(dict):
+    """Of all paths, all tokens."""
+
+    def __contains__(self, key) -> bool:
+        return True
+
+    def __getitem__(self, key):
+        return self
+
+    def get(self, key, default=None):
+        return self
 
 
 class Template:
@@ -358,9 +403,10 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = xxhash.xxh3_64_intdigest((html or "").encode())
                 prints: dict[int, int] = {}
-                tokens_at, regions, lines = outline(html)
+                known = every if wanted is None else wanted.get(name, {})
+                tokens_at, regions, before = outline(html, known)
                 for path, tokens in tokens_at.items():
-                    for t in tokens if wanted is None else tokens.keys() & wanted.get((name, path), nothing):
+                    for t in tokens if wanted is None else tokens.keys() & known.get(path, nothing):
                         n = tokens[t]
                         if n not in prints:
                             prints[n] = xxhash.xxh3_64_intdigest(f"{page}:{n}".encode())
@@ -372,14 +418,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
                             row[3] += regions[path][0]
                             row[4] += regions[path][1]
                             row[5] = regions[path][2] + 1
-                for path, words in lines:  # the word before each: the same on all pages where they come in order
-                    known = None if wanted is None else wanted.get((name, path), nothing)
-                    for before, w in zip(["", *words], words):
-                        if known is None or w in known:
-                            row = found[name, f"{path}\t{w}"]
-                            h = hashes.get(before)
+                        last = before.get((path, t))
+                        if last is not None:  # the word before: the same on all pages where a class comes in order
+                            h = hashes.get(last)
                             if h is None:
-                                h = hashes[before] = xxhash.xxh3_64_intdigest(before.encode()) - (1 << 63)
+                                h = hashes[last] = xxhash.xxh3_64_intdigest(last.encode()) - (1 << 63)
                             row[6], row[7] = (h, h) if row[6] is None else (min(row[6], h), max(row[7], h))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string())]
@@ -390,14 +433,15 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
             )
 
     candidates = written(able.mapInArrow(frequent, "host string, token string").distinct())
-    wanted: dict[tuple[str, str], set[str]] | None = None
+    wanted: dict[str, dict[str, set[str]]] | None = None
     nothing: set[str] = set()
+    every = _Every()
     rows, size = candidates.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("token")), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         wanted = {}
         for name, token in candidates.toLocalIterator():
             path, _, t = token.partition("\t")
-            wanted.setdefault((name, path), set()).add(t)
+            wanted.setdefault(name, {}).setdefault(path, set()).add(t)
     tokens = able.mapInArrow(counted, "host string, token string, pages long, once long, words long, links long, depth long, vector long, low long, high long")
     if wanted is None:
         tokens = tokens.join(candidates, ["host", "token"], "left_semi")
@@ -411,10 +455,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     main = places.filter(F.col("words") - F.col("links") >= F.lit(MASS) * F.col("mass")).groupBy("host").agg(F.max(F.struct("depth", "path")).alias("m"))
     menu = places.filter((F.col("links") >= F.lit(LINKS) * F.col("words")) & (F.col("links") > 0) & (F.col("depth") > 1)).groupBy("host").agg(F.collect_list("path").alias("menus"))
     tree = written(sizes.select("host").join(main, "host", "left").join(menu, "host", "left").select("host", F.coalesce("m.path", F.lit("")).alias("region"), F.coalesce("menus", F.array().cast("array<string>")).alias("menus")))
+    # A word that comes again in its block ("word, tab, number") goes by its first time for the order.
     # Words nest in the class of the element around them, or stand once on each page of their own class.
     around = valid.filter("not is_word").select("host", "path", F.col("vector").alias("element"))
     words = valid.filter("is_word").join(around, ["host", "path"], "left").filter((F.col("once") == F.col("pages")) | F.col("vector").eqNullSafe(F.col("element")))
-    return written(_by_host(tree, words.filter("low = high").select("host", "token", "vector")))
+    return written(_by_host(tree, words.filter("low = high or low is null").select("host", "token", "vector")))
 
 
 def _by_host(tree: DataFrame, words: DataFrame) -> DataFrame:

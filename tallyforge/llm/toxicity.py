@@ -4,8 +4,8 @@ Examples are the distinct texts of labelled documents outside the held-out part;
 about that many are taken by a hash of the id, and again of the text. That bound is the only sample: it keeps fitting,
 index and broadcast of fixed size. Terms are runs of letters, lower-cased, and their beginnings of three to seven letters.
 All terms of the examples count, weighted by inverse document frequency over the whole corpus and by relevance: how
-much their log odds among toxic examples, less one standard error, exceed a quarter more than the odds among the others; a term that
-does not reach that weighs nothing.
+much their log odds among toxic examples, less one standard error, exceed 1.4 times the odds among the others; a term
+that does not reach that weighs nothing.
 
 The index is inverted: per term, postings in blocks of ``BLOCK`` examples with the block's greatest weight. A query
 bounds each block by its weights times these maxima, visits blocks from the greatest bound down and stops when no
@@ -39,8 +39,8 @@ CUT = 0.7
 #: Votes below this are alike.
 LEAST_VOTE = 1e-3
 PREFIXES, MEMO = (3, 4, 5, 6, 7), 150_000
-#: Log odds that a term must exceed after a standard error is taken off, and blocks that a query visits first.
-LEAST, FIRST = math.log(1.25), 8
+#: Log odds that a term must exceed, standard errors that are taken off them, and blocks that a query visits first.
+LEAST, ERRORS, FIRST = math.log(1.4), 1.0, 8
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -235,11 +235,11 @@ def _frequencies(docs: DataFrame, terms) -> DataFrame:
 
 def relevance(terms: DataFrame, n: int, bad: int) -> DataFrame:
     """term and relevance of the rows (term, n, toxic) whose log odds among ``bad`` toxic of ``n`` texts exceed those
-    among the others by more than a standard error and ``LEAST``; counts are raised by one half."""
+    among the others by more than ``ERRORS`` standard errors and ``LEAST``; counts are raised by one half."""
     a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     c, d = F.lit(bad + 1.0) - a, F.lit(n - bad + 1.0) - b
     odds = F.log(a) - F.log(c) - F.log(b) + F.log(d)
-    return terms.filter("toxic > 0").select("term", (odds - F.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - LEAST).alias("relevance")).filter("relevance > 0")
+    return terms.filter("toxic > 0").select("term", (odds - ERRORS * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - LEAST).alias("relevance")).filter("relevance > 0")
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:

@@ -176,7 +176,7 @@ def test_scores_follow_the_brute_force_cosine_vote(spark):
     for f, a in ill.items():
         a, b = a + 0.5, held[f] - ill[f] + 0.5
         c, d = bad + 1 - a, n - bad + 1 - b
-        x = math.log(a * d / (b * c)) - math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - math.log(1.25)
+        x = math.log(a * d / (b * c)) - math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - math.log(1.4)
         if x > 0:
             weight[f] = x * (math.log((len(rows) + 1) / (everywhere[f] + 1)) + 1)
 
@@ -230,10 +230,9 @@ def test_template_against_brute_force_classes(spark):
     elements = {path: v for (path, t), v in vectors.items() if not t}
     before = {}
     for html in pages:
-        for path, line in html_extract.outline(html)[2]:
-            for x, w in zip([None, *line], line):
-                before.setdefault((path, w), set()).add(x)
-    valid = {x: v for x, v in vectors.items() if x[1] and len(v) >= 0.5 * len(pages) and (set(v.values()) == {1} or v == elements[x[0]]) and len(before[x]) == 1}
+        for x, last in html_extract.outline(html, html_extract._Every())[2].items():
+            before.setdefault(x, set()).add(last)
+    valid = {x: v for x, v in vectors.items() if x[1] and len(v) >= 0.5 * len(pages) and (set(v.values()) == {1} or v == elements[x[0]]) and len(before.get(x, ' ')) == 1}
     want = {frozenset(f"{p}\t{t}" for (p, t), v in valid.items() if v == one) for one in valid.values()}
     found = {}
     for token, c in zip(row.tokens, row.classes):
