@@ -53,27 +53,38 @@ class Terms:
     """Numbers and weights of the terms: vectors of texts; words met before need one look-up."""
 
     def __init__(self, terms: list[str], weights: np.ndarray):
-        self.number, self.weights = dict(zip(terms, range(len(terms)))), weights
+        self.weights = weights
+        self.words: dict[str, int] = {}
+        self.begins: dict[int, dict[str, int]] = {k: {} for k in PREFIXES}
+        for i, t in enumerate(terms):
+            if t[0] == "^":
+                self.begins[len(t) - 1][t[1:]] = i
+            else:
+                self.words[t] = i
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        found = [i for k, begins in self.begins.items() if len(word) > k and (i := begins.get(word[:k])) is not None]
+        whole = self.words.get(word)
+        return tuple(found) if whole is None else (whole, *found)
+
     def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The distinct terms of a text that weigh something, and how often each comes."""
         found: list[int] = []
         if text:
-            known, number = self.known, self.number
+            known = self.known
             for word in WORD.findall(text.lower()):
                 held = known.get(word)
                 if held is None:
                     if len(known) >= MEMO:
                         known.clear()
-                    held = known[word] = tuple(number[f] for f in features(word) if f in number)
+                    held = known[word] = self._of_word(word)
                 if held:
                     found += held
         return np.unique(np.array(found, dtype=np.int64), return_counts=True)
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector of a text: terms and weights."""
-        terms, counts = self.numbers(text)
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of a text by its terms and their counts: terms and weights."""
         raw = (1 + np.log(counts)) * self.weights[terms]
         size = math.sqrt(math.fsum(raw * raw))
         return (terms, raw / size) if size else (terms[:0], raw[:0])
@@ -218,19 +229,32 @@ def _term_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text", "toxic").mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def _frequencies(docs: DataFrame, terms) -> DataFrame:
-    """number and n (rows that hold it) of the terms of a broadcast ``Terms``, over all rows."""
+def _numbered(docs: DataFrame, terms) -> DataFrame:
+    """doc_id, and the numbers t and counts c of the terms (of a broadcast ``Terms``) in each row's text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
-        n = np.zeros(len(known.weights), np.int64)
         for batch in sliced(batches, "text"):
-            for text in batch.column(0):
-                n[known.numbers(text.as_py())[0]] += 1
+            found = [known.numbers(text.as_py()) for text in batch.column(1)]
+            edges = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "t", "c"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t array<int>, c array<int>")
+
+
+def _frequencies(numbered: DataFrame, terms: int) -> DataFrame:
+    """number and n (rows that hold it) of the terms, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(), minlength=terms)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["number", "n"])
 
-    return docs.select("text").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    return numbered.select("t").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
 
 
 def relevance(terms: DataFrame, n: int, bad: int) -> DataFrame:
@@ -262,22 +286,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES) -> dic
     spark = docs.sparkSession
     train = examples_of(docs, labels, max_examples)
     n, bad = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    empty = {"model": spark.sparkContext.broadcast((None, Terms([], np.empty(0)))), "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
+    empty = {"model": None, "prior": (bad + 0.0) / n if n else 0.0, "bins": None}
     if not n or not bad or bad == n:  # nothing to tell apart
         return empty
     told = relevance(_term_counts(train), n, bad).orderBy("term").toArrow()  # of the bounded examples
     if not told.num_rows:
         return empty
     terms = Terms(told["term"].to_pylist(), told["relevance"].to_numpy())
-    frequency = _frequencies(docs, spark.sparkContext.broadcast(terms)).toArrow()
+    numbered = written(_numbered(docs, spark.sparkContext.broadcast(terms)))  # the texts are read once
+    frequency = _frequencies(numbered, len(terms.weights)).toArrow()
     rows = np.zeros(len(terms.weights))
     rows[frequency["number"].to_numpy()] = frequency["n"].to_numpy()
-    terms.weights = terms.weights * (np.log((docs.count() + 1) / (rows + 1)) + 1)
+    terms.weights = terms.weights * (np.log((numbered.count() + 1) / (rows + 1)) + 1)
     sent = spark.sparkContext.broadcast(terms)  # as many strings as the examples have terms
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            found = [sent.value.vector(t) for t in batch.column(1).to_pylist()]
+            found = [sent.value.vector(*sent.value.numbers(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -289,9 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = EXAMPLES) -> dic
     rows_told = [k for k, v in enumerate(whole) if len(v[0])]
     ids = found["doc_id"].to_pylist()
     index = Index([whole[k] for k in rows_told], [toxic[k] for k in rows_told], [ids[k] for k in rows_told])
-    terms.known = {}
-    model = spark.sparkContext.broadcast((index, terms))
-    return {"model": model, "prior": prior, "bins": _calibrated(spark, model, len(index.total), bad / n)}
+    model = spark.sparkContext.broadcast((index, Terms([], terms.weights)))  # the words themselves are done with
+    return {"model": model, "prior": prior, "bins": _calibrated(spark, model, len(index.total), bad / n), "numbered": numbered}
 
 
 def _calibrated(spark, model, entries: int, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -343,20 +367,21 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of up to three nearest examples) of every row."""
     fitted = fit(docs, labels, **bounds)
     model, prior, bins = fitted["model"], fitted["prior"], fitted["bins"]
-    kind = docs.schema["doc_id"].dataType
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, terms = model.value
         memo: dict[bytes, tuple[float, list]] = {}  # copies are many
-        for batch in sliced(batches, "text"):
+        for batch in batches:
+            starts, t, c = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().astype(np.int64), batch.column(2).values.to_numpy()
             scores, evidence = [], []
-            for text in batch.column(1):
-                vector = terms.vector(text.as_py())
-                key = vector[0].tobytes() + vector[1].tobytes()
+            for at, to in zip(starts, starts[1:]):
+                key = t[at:to].tobytes() + c[at:to].tobytes()
                 found = memo.get(key)
                 if found is None:
                     if len(memo) >= 5_000:
                         memo.clear()
+                    vector = terms.vector(t[at:to], c[at:to])
                     if len(vector[0]):
                         vote, near = index.vote(vector)
                         found = calibrated(vote, bins), [index.ids[e] for e in near[:3]]
@@ -367,7 +392,10 @@ def score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
                 evidence.append(found[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(batch.column(0).type))], names=["doc_id", "score", "evidence"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double, evidence array<{kind.simpleString()}>")
+    if model is None:
+        out = docs.select("doc_id", F.lit(float(prior)).alias("score"), F.array().cast(f"array<{kind}>").alias("evidence"))
+    else:
+        out = fitted["numbered"].mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>")
     return out.select("doc_id", held_out(F.col("doc_id"), PARTS, HELD).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"), "evidence")
 
 
