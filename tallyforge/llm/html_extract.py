@@ -52,7 +52,7 @@ LEAST_PAGES = 4
 #: Tokens that a task holds before it tells the frequent ones.
 HELD = 1_500_000
 #: Share of a host's words outside links that the main slots hold, and of a menu's words that are links.
-MASS, LINKS = 0.6, 2 / 3
+MASS, LINKS = 0.8, 2 / 3
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
