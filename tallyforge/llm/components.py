@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import written
+from tallyforge.llm.shared import sliced, written
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -159,6 +159,28 @@ def linked_groups(
     return (roots if settled else components(links)), links
 
 
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The keys of ``rows`` (key, node) whose nodes are of several components.
+
+    Nodes learn their component one row a node, with all their keys, and only a batch's distinct keys leave it.
+    """
+    each = rows.groupBy("node").agg(F.collect_list("key").alias("keys")).join(roots, "node", "left").select("keys", F.coalesce("root", "node").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "keys", 8 << 20):
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            keys, root = lists.flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), lists.value_lengths().to_numpy())
+            order = np.argsort(keys, kind="stable")
+            own, begin = np.unique(keys[order], return_index=True)
+            ends = [f.reduceat(root[order], begin) for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, ends)], names=["key", "low", "high"])
+
+    found = each.mapInArrow(run, "key long, low long, high long")
+    return found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("key")
+
+
 def linked_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
     """node and root of the nodes that shared buckets and ``verify`` link.
 
@@ -172,9 +194,8 @@ def linked_by_hubs(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     left = members.select("key", "node")
     for turn in range(1, rounds + 1):
         roots = components(links)
-        placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-        placed = written(placed.join(mixed, "key").select("key", "node", "root"))
+        placed = left.join(_mixed(left, roots), "key").join(roots, "node", "left")
+        placed = written(placed.select("key", "node", F.coalesce("root", "node").alias("root")))
         if placed.isEmpty():
             return roots
         if turn == rounds:

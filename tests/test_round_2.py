@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyforge.llm import components
 from tallyforge.operators import features as X
 from tallyforge.operators import models as M
 from tallyforge.sources import readers
@@ -31,3 +32,25 @@ def test_churn_model_works_out_its_features_once(spark):
     split = M.churn_split(rows.withColumn("customer_id", column))
     scores = M.churn_scores(M.fit_churn(split.filter("not is_test"), trees=5, depth=3), split.filter("is_test"))
     assert scores.count() == split.filter("is_test").count() > 0 and seen.value == rows.count()
+
+
+def test_components_reach_nodes_one_row_a_node(spark, monkeypatch):
+    """30 images of one group share 50 entries each, and two groups more meet in some of them without being alike."""
+    rows = [(key, node, 0) for key in range(50) for node in range(30)]
+    rows += [(key, node, 0) for key in range(50, 60) for node in (0, 40, 41, 50, 51)]
+    members = spark.createDataFrame(rows, "key long, node long, hub long").cache()
+    group = lambda c: F.floor(F.greatest(F.col(c), F.lit(30)) / 10)
+    kind, sizes = type(members), []
+    real = kind.join
+
+    def join(self, other, on=None, how=None):
+        out = real(self, other, on, how)
+        if how == "left":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", join)
+    for rounds in (1, 3):
+        found = components.linked_by_hubs(members, lambda pairs: pairs.filter(group("a") == group("b")), rounds)
+        assert {r.node: r.root for r in found.collect()} == {**dict.fromkeys(range(30), 0), 40: 40, 41: 40, 50: 50, 51: 50}
+    assert max(sizes) <= 50  # nodes, or rows of entries that several groups share; all rows are 1,550
